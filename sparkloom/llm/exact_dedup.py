@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import partitions, single_spaced
+from sparkloom.llm.common import materialise, partitions, single_spaced
 
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -41,9 +41,10 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.count()
     most = max(2, rows // (2 * p))  # so at most 2 * p texts are frequent
-    frequent = keyed.groupBy("h").count().where(F.col("count") > most).select("h", F.ceil(F.col("count") / most).cast("int").alias("pieces")).collect()
+    hot = keyed.groupBy("h").count().where(F.col("count") > most).select("h", F.ceil(F.col("count") / most).cast("int").alias("pieces"))
+    hot = materialise(hot, "dedup-frequent")
+    frequent = not hot.isEmpty()
     if frequent:
-        hot = spark.createDataFrame([(r["h"], r["pieces"]) for r in frequent], "h long, pieces int")
         known = (
             keyed.select("id", "norm", "h").join(F.broadcast(hot.select("h")), "h", "left_semi")
             .groupBy("norm").agg(F.min("id").alias("hot_id"), F.count(F.lit(1)).alias("hot_n"))
@@ -53,18 +54,19 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keyed = keyed.join(F.broadcast(hot), "h", "left").withColumn("piece", piece)
     else:
         known = None
-        keyed = keyed.withColumn("piece", F.lit(0))
 
-    placed = keyed.drop("h", "pieces").repartitionByRange(p, "norm", "piece")
-    run = Window.partitionBy("norm", "piece")
+    # Splitters are sampled from the first characters and the hash, so they stay short; the
+    # sort below goes on with the whole text.
+    split = ["head", "h", "piece"] if frequent else ["head", "h"]
+    placed = keyed.withColumn("head", F.substring("norm", 1, 48)).repartitionByRange(p, *split)
+    run = Window.partitionBy(*split, "norm")
     marked = placed.select(
         "*",
         F.row_number().over(run.orderBy(F.col("id").asc_nulls_last())).alias("nth"),
         F.min("id").over(run).alias("least"),
         F.count(F.lit(1)).over(run).alias("n"),
-    ).withColumn("sha", F.sha2("norm", 256)).drop("norm")
+    ).withColumn("sha", F.sha2("norm", 256)).drop("norm", "head")
     if known is not None:
-        # A frequent text stays frequent when salted pieces are joined with what is known of it.
         marked = marked.join(F.broadcast(known), "sha", "left")
         least, n = F.when(F.col("hot_n").isNotNull(), F.col("hot_id")).otherwise(F.col("least")), F.coalesce("hot_n", "n")
     else:
