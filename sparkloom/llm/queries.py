@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_counts
+from sparkloom.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_lines(_table(spark, sf_dir, "documents")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -42,11 +51,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_near_dedup, op4_token_counts, op7_mixing, op8_sharding, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_near_dedup, op4_token_counts, op5_language_id, op6_line_dedup, op7_mixing, op8_sharding, op10_byte_bpe)
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
