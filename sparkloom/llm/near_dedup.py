@@ -3,15 +3,19 @@
 1. Features: each whole text's 5-word shingle set is hashed in numpy; what leaves the task is
    the set's size and digest, 40 bucket keys of 5 bins and a sketch of a byte for each bin.
 2. Equal sets (one digest) are one class from here on, represented by its least identifier.
-3. In each bucket, candidates are the edges from its least member to the others: a star, so
-   that a bucket of any size gives as many pairs as members.
-4. Candidates are confirmed on the full sets, computed again from the texts.
-5. Connected components of the links. Where a bucket still holds several components, its
-   members outside the largest are paired with all members of other components; these pairs
-   are confirmed too. After that every pair of every bucket is either confirmed, refuted or
-   within one component, so the star loses no link that the buckets hold.
-
-A pair at similarity s shares a bucket with probability 1 - (1 - s**5)**40: 0.99998 at 0.75.
+3. In each bucket, candidates are the edges from one member, the centre, to the others: a star,
+   so that a bucket of any size gives as many pairs as members. The centre is the member that
+   has most neighbours over all its buckets.
+4. Candidates are confirmed on the full sets, computed again from the texts. Connected
+   components of the links follow.
+5. Buckets that still hold several components are open. In small ones all pairs of members of
+   different components are confirmed. In a large one with centre c, a pair a, b either shares a
+   shingle that c has not, or has no more in common than each has with c, which bounds its
+   similarity. So pairs whose bound reaches the threshold are confirmed, and for the others the
+   shingles that c has not become the keys of new, finer buckets, which go through 3 to 5 again.
+
+So the stars lose no link that a bucket holds. A pair at similarity s shares a bucket with
+probability 1 - (1 - s**5)**40: 0.99998 at 0.75, the least that counts as a link.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialise, small_side
@@ -32,6 +36,9 @@ WIDTH, PERCENT, BANDS, ROWS = 5, 75, 40, 5
 #: Sketches refute a pair if fewer than this share of bins agree; only sets of at least so many
 #: shingles are refuted, where the share at similarity 0.75 is 5 standard deviations above.
 SKETCH_SHARE, SKETCH_LEAST = 0.6, 400
+#: Open buckets of at most so many members have all their pairs confirmed; from the third
+#: refinement on, all open buckets have.
+SMALL, DEEPEST = 48, 3
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,36 +73,53 @@ def _sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler(WIDTH)
-    recent: OrderedDict[int, np.ndarray] = OrderedDict()
-
-    def of(key: int, text: pa.StringScalar) -> np.ndarray:
-        # By digest of the text, as an identifier may repeat; a few sets only.
-        t = text.as_py()
-        k = hash((key, t))
-        if k not in recent:
-            recent[k] = shingler(t)
-            if len(recent) > 16:
-                recent.popitem(last=False)
-        return recent[k]
+class _Sets:
+    """Shingle sets of the last few texts."""
+
+    def __init__(self):
+        self.shingler, self.recent = Shingler(WIDTH), OrderedDict()
+
+    def __call__(self, text: str) -> np.ndarray:
+        if text not in self.recent:
+            self.recent[text] = self.shingler(text)
+            if len(self.recent) > 16:
+                self.recent.popitem(last=False)
+        return self.recent[text]
 
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = _Sets()
     for batch in batches:
-        cols = [batch.column(c) for c in ("a", "b", "text_a", "text_b")]
-        keep = [resemble(of(a.as_py(), ta), of(b.as_py(), tb), PERCENT) for a, b, ta, tb in zip(*cols, strict=True)]
+        keep = [resemble(sets(a.as_py()), sets(b.as_py()), PERCENT) for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For centre a and member b: the size of what they share, and b's other shingles."""
+    sets = _Sets()
+    for batch in batches:
+        common, others = [], []
+        for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+            rest = np.setdiff1d(y := sets(b.as_py()), sets(a.as_py()), assume_unique=True)
+            common.append(len(y) - len(rest))
+            others.append(rest.view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names=["a", "b", "common", "others"])
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), f"{tag}-wanted")
+    texts = docs.join(small_side(wanted, 1_000_000), F.col("id") == F.col("wanted"), "left_semi")
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    return pairs.join(text("a"), "a").join(text("b"), "b")
+
+
 def _links(pairs: DataFrame, feats: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
     """pairs a, b of class representatives that are links. docs: id, text."""
     side = lambda x: feats.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     near = materialise(near.mapInArrow(_sketch_filter, "a long, b long"), f"{tag}-candidates")
-    wanted = materialise(near.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), f"{tag}-wanted")
-    texts = docs.join(small_side(wanted, 1_000_000), F.col("id") == F.col("wanted"), "left_semi")
-    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    return materialise(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_confirm, "a long, b long").distinct(), f"{tag}-links")
+    return materialise(_with_texts(near, docs, tag).mapInArrow(_confirm, "a long, b long").distinct(), f"{tag}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -120,6 +144,25 @@ def components(links: DataFrame) -> DataFrame:
         state = fresh
 
 
+def _cross(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """Pairs a < b of members of different components of a bucket whose sizes allow a link."""
+    other = right.select("key", *[F.col(c).alias(f"{c}_x") for c in right.columns if c != "key"])
+    alike = 100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")
+    return left.join(other, "key").where((F.col("id") < F.col("id_x")) & (F.col("component") != F.col("component_x")) & alike & condition).select(F.col("id").alias("a"), F.col("id_x").alias("b"))
+
+
+def _test(pairs: DataFrame, links: DataFrame | None, tested: DataFrame | None, feats: DataFrame, docs: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """links and tested with those of the pairs that weren't tested yet."""
+    fresh = pairs.distinct()
+    if tested is not None:
+        fresh = fresh.join(tested, ["a", "b"], "left_anti")
+    fresh = materialise(fresh, f"{tag}-fresh")
+    if tested is not None and fresh.isEmpty():
+        return links, tested
+    new = _links(fresh, feats, docs, tag)
+    return (new, fresh) if tested is None else (links.unionByName(new), tested.unionByName(fresh))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept.
 
@@ -135,26 +178,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = members.where("id = rep").select("id").distinct()
     known = materialise(real.select("id", "n", "keys", "sketch").join(reps, "id", "left_semi"), "near-classes")
 
+    links, found = None, None
+    tested = None
     rows = known.select("id", "n", F.explode("keys").alias("key"))
-    stars = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialise(rows.join(stars, "key"), "near-buckets")
-    tested = materialise(shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "near-stars")
-    links = _links(tested, known, docs, "near-1")
-    found = components(links)
-
-    crowded = shared.where("size > 2").select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    crowded = materialise(crowded, "near-crowded")
-    parts = crowded.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component")).alias("top")).where("parts > 1").select("key", F.col("top.component").alias("largest"))
-    open_rows = materialise(crowded.join(mixed, "key"), "near-open")
-    minor = open_rows.where("component <> largest").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    alike = 100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")
-    rest = minor.join(open_rows, "key").where((F.col("component") != F.col("c_x")) & alike).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    rest = materialise(rest.join(tested, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        more = _links(rest, known, docs, "near-2")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    depth = 0
+    while rows is not None:
+        depth += 1
+        tag = f"near-{depth}"
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        shared = materialise(rows.join(sizes, "key"), f"{tag}-buckets")
+        weight = shared.groupBy("id").agg(((F.sum("size") - F.count(F.lit(1))) * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).alias("weight"))
+        centres = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", "weight").alias("centre"))
+        shared = materialise(shared.join(centres, "key"), f"{tag}-stars")
+        stars = shared.where("id <> centre")
+        if found is not None:  # finer buckets: only what isn't connected yet
+            of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+            stars = stars.join(of("id"), "id", "left").join(of("centre"), "centre", "left").where(F.coalesce("of_id", "id") != F.coalesce("of_centre", "centre"))
+        stars = stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+        links, tested = _test(stars, links, tested, known, docs, f"{tag}-star")
+        found = components(links)
+
+        at = shared.where("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        at = materialise(at, f"{tag}-placed")
+        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        opened = materialise(at.join(mixed, "key"), f"{tag}-open")
+        whole = F.lit(depth >= DEEPEST) | (F.col("size") <= SMALL)
+        small = opened.where(whole)
+        pairs = _cross(small, small, F.lit(True))
+        large = opened.where(~whole)
+        rows = None
+        if not large.isEmpty():
+            apart = large.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+            apart = materialise(_with_texts(apart, docs, f"{tag}-apart").mapInArrow(_differences, "a long, b long, common long, others array<long>"), f"{tag}-apart")
+            measured = apart.groupBy(F.col("a").alias("centre"), F.col("b").alias("id")).agg(F.max("common").alias("common"))
+            spread = large.join(measured, ["centre", "id"])
+            least = F.least("common", "common_x")
+            pairs = pairs.unionByName(_cross(spread, spread, 100 * least >= PERCENT * (F.col("n") + F.col("n_x") - least)))
+            finer = apart.select("a", F.col("b").alias("id"), F.explode("others").alias("shingle")).select("id", F.xxhash64("a", "shingle").alias("key")).distinct()
+            rows = materialise(finer.join(known.select("id", "n").distinct(), "id"), f"{tag}-finer")
+        links, tested = _test(pairs, links, tested, known, docs, f"{tag}-rest")
+        found = components(links)
 
     of = found.select(F.col("id").alias("rep"), "component")
     out = members.join(of, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "id"))
