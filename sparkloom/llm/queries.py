@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, quality, sharding, token_counts
+from sparkloom.llm import byte_bpe, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_near_dedup, op4_token_counts, op5_language_id, op6_line_dedup, op7_mixing, op8_sharding, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_near_dedup, op4_token_counts, op5_language_id, op6_line_dedup, op7_mixing, op8_sharding, op9_html_extract, op10_byte_bpe)
 }
 
 ORACLE: dict[str, str] = {
