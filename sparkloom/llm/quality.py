@@ -61,7 +61,11 @@ def signals(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     near = lambda x, i: F.get("runs", i - 1)["g"].eqNullSafe(x["g"]) | F.get("runs", i + 1)["g"].eqNullSafe(x["g"])
     d = d.withColumn("found", F.when(F.col("runs").isNotNull(), F.transform(F.filter("runs", near), lambda x: x["i"])))
     covered = F.size(F.array_distinct(F.concat("found", F.transform("found", lambda i: i + 1), F.transform("found", lambda i: i + 2))))
-    return d.select("keep.*", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.col("found").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"))
+    repeats = F.when(F.col("found").isNotNull(), covered).otherwise(0).cast("long")
+    # The partition's number is never negative. As it isn't deterministic, filters on the signals
+    # stay above this point; below it they would compute the windows again for each of them.
+    repeats = F.when(F.spark_partition_id() >= 0, repeats)
+    return d.select("keep.*", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeats.alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -167,12 +171,14 @@ def _oracle() -> str:
     value = "CASE rule WHEN 'symbol_ratio' THEN n_symbols / greatest(word_chars, 1) WHEN 'dup_line_ratio' THEN n_dup_lines / greatest(n_lines, 1) WHEN 'repeat_ratio' THEN n_repeat_words / greatest(n_words, 1) ELSE word_chars / greatest(n_words, 1) END"
     a = ALPHA / len(RULES)
     return rf"""
-WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rid, * EXCLUDE (doc_id) FROM d),
 win AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM g WHERE len(w) >= 3),
 win2 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS c FROM win),
 rep AS (SELECT rid, count(DISTINCT i + o) AS n FROM win2, (VALUES (0), (1), (2)) t(o) WHERE c > 1 GROUP BY rid),
-ln AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM g),
+ln AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM g),
 s AS (SELECT doc_id, rid, lang, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
