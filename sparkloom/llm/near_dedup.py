@@ -95,15 +95,23 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For centre a and member b: the size of what they share, and b's other shingles."""
+    """For centre a and member b: the size of b and of what they share, and b's other shingles.
+
+    A link of b shares at least PERCENT of b's shingles; if that is more than the centre has,
+    the rest must be among the others. Then the last ones of the others can be left out: two
+    sets that share t elements share one of their first |set| - t + 1."""
     sets = _Sets()
     for batch in batches:
-        common, others = [], []
+        sizes, common, others = [], [], []
         for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
             rest = np.setdiff1d(y := sets(b.as_py()), sets(a.as_py()), assume_unique=True)
+            sizes.append(len(y))
             common.append(len(y) - len(rest))
-            others.append(rest.view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names=["a", "b", "common", "others"])
+            must = max(1, -(-PERCENT * len(y) // 100) - common[-1])
+            others.append(rest[: max(0, len(rest) - must + 1)].view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names=["a", "b", "n", "common", "others"]
+        )
 
 
 def _with_texts(pairs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
@@ -209,13 +217,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = None
         if not large.isEmpty():
             apart = large.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-            apart = materialise(_with_texts(apart, docs, f"{tag}-apart").mapInArrow(_differences, "a long, b long, common long, others array<long>"), f"{tag}-apart")
+            apart = materialise(_with_texts(apart, docs, f"{tag}-apart").mapInArrow(_differences, "a long, b long, n long, common long, others array<long>"), f"{tag}-apart")
             measured = apart.groupBy(F.col("a").alias("centre"), F.col("b").alias("id")).agg(F.max("common").alias("common"))
             spread = large.join(measured, ["centre", "id"])
             least = F.least("common", "common_x")
             pairs = pairs.unionByName(_cross(spread, spread, 100 * least >= PERCENT * (F.col("n") + F.col("n_x") - least)))
-            finer = apart.select("a", F.col("b").alias("id"), F.explode("others").alias("shingle")).select("id", F.xxhash64("a", "shingle").alias("key")).distinct()
-            rows = materialise(finer.join(known.select("id", "n").distinct(), "id"), f"{tag}-finer")
+            finer = apart.select("a", F.col("b").alias("id"), "n", F.explode("others").alias("shingle"))
+            rows = materialise(finer.select("id", "n", F.xxhash64("a", "shingle").alias("key")).distinct(), f"{tag}-finer")
         links, tested = _test(pairs, links, tested, known, docs, f"{tag}-rest")
         found = components(links)
 
