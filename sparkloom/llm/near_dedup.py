@@ -65,12 +65,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        small = np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) < SKETCH_LEAST
-        keep = small.copy()
-        if (at := np.flatnonzero(~small)).size:
-            a, b = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for c in ("sketch_a", "sketch_b"))
-            keep[at] = (a == b).mean(axis=1) >= SKETCH_SHARE
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+        keep = (a == b).mean(axis=1) >= SKETCH_SHARE if batch.num_rows else np.empty(0, bool)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 class _Sets:
@@ -122,11 +119,11 @@ def _with_texts(pairs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, feats: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
-    """pairs a, b of class representatives that are links. docs: id, text."""
-    side = lambda x: feats.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    near = materialise(near.mapInArrow(_sketch_filter, "a long, b long"), f"{tag}-candidates")
+    """Those of the pairs a, b, n (size of the smaller set) of class representatives that are links."""
+    side = lambda x: feats.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    large = pairs.where(F.col("n") >= SKETCH_LEAST).select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    near = pairs.where(F.col("n") < SKETCH_LEAST).select("a", "b").unionByName(large.mapInArrow(_sketch_filter, "a long, b long"))
+    near = materialise(near, f"{tag}-candidates")
     return materialise(_with_texts(near, docs, tag).mapInArrow(_confirm, "a long, b long").distinct(), f"{tag}-links")
 
 
@@ -152,11 +149,16 @@ def components(links: DataFrame) -> DataFrame:
         state = fresh
 
 
+def _alike(n: Column, m: Column) -> Column:
+    """Sets of such sizes can be linked."""
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
 def _cross(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     """Pairs a < b of members of different components of a bucket whose sizes allow a link."""
     other = right.select("key", *[F.col(c).alias(f"{c}_x") for c in right.columns if c != "key"])
-    alike = 100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")
-    return left.join(other, "key").where((F.col("id") < F.col("id_x")) & (F.col("component") != F.col("component_x")) & alike & condition).select(F.col("id").alias("a"), F.col("id_x").alias("b"))
+    apart = (F.col("id") < F.col("id_x")) & (F.col("component") != F.col("component_x")) & _alike(F.col("n"), F.col("n_x"))
+    return left.join(other, "key").where(apart & condition).select(F.col("id").alias("a"), F.col("id_x").alias("b"), F.least("n", "n_x").alias("n"))
 
 
 def _test(pairs: DataFrame, links: DataFrame | None, tested: DataFrame | None, feats: DataFrame, docs: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +170,7 @@ def _test(pairs: DataFrame, links: DataFrame | None, tested: DataFrame | None, f
     if tested is not None and fresh.isEmpty():
         return links, tested
     new = _links(fresh, feats, docs, tag)
-    return (new, fresh) if tested is None else (links.unionByName(new), tested.unionByName(fresh))
+    return (new, fresh.select("a", "b")) if tested is None else (links.unionByName(new), tested.unionByName(fresh.select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,13 +198,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         shared = materialise(rows.join(sizes, "key"), f"{tag}-buckets")
         weight = shared.groupBy("id").agg(((F.sum("size") - F.count(F.lit(1))) * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).alias("weight"))
-        centres = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", "weight").alias("centre"))
-        shared = materialise(shared.join(centres, "key"), f"{tag}-stars")
-        stars = shared.where("id <> centre")
+        centres = shared.join(weight, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), "weight").alias("c"))
+        shared = materialise(shared.join(centres.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("n_centre")), "key"), f"{tag}-stars")
+        stars = shared.where((F.col("id") != F.col("centre")) & _alike(F.col("n"), F.col("n_centre")))
         if found is not None:  # finer buckets: only what isn't connected yet
             of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
             stars = stars.join(of("id"), "id", "left").join(of("centre"), "centre", "left").where(F.coalesce("of_id", "id") != F.coalesce("of_centre", "centre"))
-        stars = stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+        stars = stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.least("n", "n_centre").alias("n"))
         links, tested = _test(stars, links, tested, known, docs, f"{tag}-star")
         found = components(links)
 
