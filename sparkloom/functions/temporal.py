@@ -332,7 +332,8 @@ def date_range(spark: SparkSession, start: str, end: str | None = None, frequenc
         rows = spark.range(max(0, count)).select((s + F.make_interval(months=F.col("id").cast("int") * step.months, days=F.col("id").cast("int") * step.days, secs=F.col("id") * (step.nanoseconds / 1e9))).alias(name))
     else:
         e = F.lit(end).cast("timestamp")
-        rows = spark.range(1).where(s <= e).select(F.explode(F.sequence(s, e, step.interval())).alias(name))
+        every = F.when(s <= e, F.sequence(s, e, step.interval())).otherwise(F.array().cast("array<timestamp>"))
+        rows = spark.range(1).select(F.explode(every).alias(name))
         if closed in ("right", "neither"):
             rows = rows.where(F.col(name) > s)
         if closed in ("left", "neither"):
