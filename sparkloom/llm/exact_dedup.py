@@ -36,8 +36,10 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     p = partitions(spark)
-    keyed = docs.select(F.col(id_col).alias("id"), single_spaced(F.col(text_col)).alias("norm"), *([F.struct("*").alias("row")] if carry else []))
-    keyed = keyed.withColumn("h", F.xxhash64("norm"))
+    norm = single_spaced(F.col("text"))
+    carried = [F.struct("*").alias("row")] if carry else []
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carried)
+    keyed = keyed.withColumn("h", F.xxhash64(norm)).withColumn("head", F.substring(norm, 1, 48))
 
     rows = docs.count()
     most = max(2, rows // (2 * p))  # so at most 2 * p texts are frequent
@@ -46,7 +48,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     frequent = not hot.isEmpty()
     if frequent:
         known = (
-            keyed.select("id", "norm", "h").join(F.broadcast(hot.select("h")), "h", "left_semi")
+            keyed.select("id", norm.alias("norm"), "h").join(F.broadcast(hot.select("h")), "h", "left_semi")
             .groupBy("norm").agg(F.min("id").alias("hot_id"), F.count(F.lit(1)).alias("hot_n"))
             .select(F.sha2("norm", 256).alias("sha"), "hot_id", "hot_n")
         )
@@ -56,16 +58,18 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known = None
 
     # Splitters are sampled from the first characters and the hash, so they stay short; the
-    # sort below goes on with the whole text.
+    # sort below goes on with the whole text, which is only normalised again after the exchange.
     split = ["head", "h", "piece"] if frequent else ["head", "h"]
-    placed = keyed.withColumn("head", F.substring("norm", 1, 48)).repartitionByRange(p, *split)
+    text = F.col(f"row.`{text_col}`").cast("string") if carry else F.col("text")
+    placed = (keyed.drop("text") if carry else keyed).repartitionByRange(p, *split)
+    placed = placed.withColumn("norm", single_spaced(text))
     run = Window.partitionBy(*split, "norm")
     marked = placed.select(
         "*",
         F.row_number().over(run.orderBy(F.col("id").asc_nulls_last())).alias("nth"),
         F.min("id").over(run).alias("least"),
         F.count(F.lit(1)).over(run).alias("n"),
-    ).withColumn("sha", F.sha2("norm", 256)).drop("norm", "head")
+    ).withColumn("sha", F.sha2("norm", 256)).drop("norm", "head", "text")
     if known is not None:
         marked = marked.join(F.broadcast(known), "sha", "left")
         least, n = F.when(F.col("hot_n").isNotNull(), F.col("hot_id")).otherwise(F.col("least")), F.coalesce("hot_n", "n")

@@ -9,7 +9,7 @@
 4. Candidates are confirmed on the full sets, computed again from the texts. Connected
    components of the links follow.
 5. Buckets that still hold several components are open. In small ones all pairs of members of
-   different components are confirmed. In a large one with centre c, a pair a, b either shares a
+   different components are confirmed. For a large one with a reference c, a pair a, b either shares a
    shingle that c has not, or has no more in common than each has with c, which bounds its
    similarity. So pairs whose bound reaches the threshold are confirmed, and for the others the
    shingles that c has not become the keys of new, finer buckets, which go through 3 to 5 again.
@@ -92,9 +92,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For centre a and member b: the size of b and of what they share, and b's other shingles.
+    """For reference a and member b: the size of b and of what they share, and b's other shingles.
 
-    A link of b shares at least PERCENT of b's shingles; if that is more than the centre has,
+    A link of b shares at least PERCENT of b's shingles; if that is more than the reference has,
     the rest must be among the others. Then the last ones of the others can be left out: two
     sets that share t elements share one of their first |set| - t + 1."""
     sets = _Sets()
@@ -218,10 +218,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = opened.where(~whole)
         rows = None
         if not large.isEmpty():
-            apart = large.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+            # The bound holds for any reference, so neighbouring buckets take one: the weightiest centre of
+            # all the buckets that their members are in.
+            heavy = weight.select(F.col("id").alias("centre"), F.col("weight").alias("heft"))
+            best = large.join(heavy, "centre").groupBy("id").agg(F.max(F.struct("heft", "centre")).alias("best"))
+            shared_ref = large.join(best, "id").groupBy("key").agg(F.max("best").alias("best")).select("key", F.col("best.centre").alias("reference"))
+            large = materialise(large.join(shared_ref, "key"), f"{tag}-large")
+            apart = large.select(F.col("reference").alias("a"), F.col("id").alias("b")).distinct()
             apart = materialise(_with_texts(apart, docs, f"{tag}-apart").mapInArrow(_differences, "a long, b long, n long, common long, others array<long>"), f"{tag}-apart")
-            measured = apart.groupBy(F.col("a").alias("centre"), F.col("b").alias("id")).agg(F.max("common").alias("common"))
-            spread = large.join(measured, ["centre", "id"])
+            measured = apart.groupBy(F.col("a").alias("reference"), F.col("b").alias("id")).agg(F.max("common").alias("common"))
+            spread = large.join(measured, ["reference", "id"])
             least = F.least("common", "common_x")
             pairs = pairs.unionByName(_cross(spread, spread, 100 * least >= PERCENT * (F.col("n") + F.col("n_x") - least)))
             finer = apart.select("a", F.col("b").alias("id"), "n", F.explode("others").alias("shingle"))
