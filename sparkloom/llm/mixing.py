@@ -33,7 +33,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDE
 o AS (SELECT *, 3.0::DOUBLE * source_size / w AS ratio, sum(source_size) OVER ()::BIGINT AS total FROM s),
 c AS (SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below,
     sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS above FROM o),
-l AS (SELECT min(level) AS level FROM (SELECT (total - below)::DOUBLE / above AS level, ratio FROM c) WHERE level <= ratio),
+l AS (SELECT max(level) AS level FROM (SELECT (total - below)::DOUBLE / above AS level, ratio FROM c) WHERE level <= ratio),
 t AS (SELECT source, source_size, CASE WHEN ratio < level THEN (3 * source_size)::DOUBLE ELSE level * w END AS target,
     ('0x' || substr(md5('mix-1' || ':' || coalesce('s' || source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM o, l),
 r AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS copies,
@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Targets are a common level times the weight, cut off at most times the source's size;
     the level makes them add up to the sum of all sizes. It is found in one pass over the
-    sources in the order in which they reach their limit. The windows run over the sources
+    sources in the order in which they reach their limit: the first one that does not reach it, which has the
+    highest level of those. The windows run over the sources
     alone, one row each."""
     every = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(every) - 1) % len(weights) + 1).cast("int")).cast("long")
@@ -60,7 +61,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         F.coalesce(F.sum(most * F.col("source_size")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"),
         F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)).alias("above"),
     ).withColumn("own", (F.col("total") - F.col("below")).cast("double") / F.col("above"))
-    level = F.min(F.when(F.col("own") <= F.col("ratio"), F.col("own"))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    level = F.max(F.when(F.col("own") <= F.col("ratio"), F.col("own"))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return c.withColumn("level", level).select(
         "source", "source_size",
         F.when(F.col("ratio") < F.col("level"), (most * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"),
