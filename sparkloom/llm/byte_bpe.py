@@ -4,22 +4,21 @@ Each match of the pattern is a word of bytes. Its merges are folded by rank: of
 pieces whose concatenation has a rank, those with the lowest are joined, the leftmost first,
 until none is left. Decoding concatenates the pieces of the identifiers.
 
-Two forms of one fold:
-
-* `encode_words` is the form with Spark's higher-order functions over the byte arrays of a
-  table of distinct words, with the ranks as a literal map. It has no Python in it.
-* `encode` encodes whole documents. In a corpus nearly half of the distinct words occur once,
-  so a table of distinct words grows with the corpus, and joining it back to the documents
-  would shuffle a row for each word of the corpus. So there each worker folds the distinct
-  words that it meets, and keeps a bounded number of them.
+Spark's higher-order functions do this for a table of distinct words, with the ranks as a
+literal map (`encode_words`). A corpus has new words without end, so a table of all of them would
+grow with it, and joining it back would shuffle a row for each word of the corpus. So `encode`
+folds the words that are most frequent in a bounded draw of documents in that way, at most
+FOLDED of them, and sends the table to the workers. There each document is split, and its words
+are looked up; the words that the table lacks are folded on the spot, by the same rule. Results
+do not depend on which words were folded where.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -29,7 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Words that a worker keeps at most beyond the table.
 KEPT = 300_000
+#: Words of the table at most, and documents that it is drawn from.
+FOLDED, DRAWN = 60_000, 4_000
 #: Longer words go by a heap instead of passes over all pairs.
 LONG = 48
 BUCKETS = 4096
@@ -84,15 +86,17 @@ def _fold_long(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
 class Encoder(dict):
     """Word: its identifiers as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, pattern: str):
-        super().__init__()
+    def __init__(self, path: str, pattern: str, table: dict[str, bytes]):
+        super().__init__(table)
+        self.table = table
         self.ranks = read_ranks(path)
         self.pieces = {r: p for p, r in self.ranks.items()}
         self.words = regex.compile(pattern)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
+        if len(self) >= KEPT + len(self.table):
             self.clear()
+            self.update(self.table)
         ranks = self.ranks
         self[word] = ids = b"".join([ranks[p].to_bytes(4, "little") for p in fold(word.encode("utf-8", "surrogatepass"), ranks)])
         return ids
@@ -104,9 +108,26 @@ class Encoder(dict):
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+#: The encoder of a worker's present query, by a name that the query gives it.
+_CURRENT: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, path: str, pattern: str, table) -> Encoder:
+    if name not in _CURRENT:
+        _CURRENT.clear()
+        _CURRENT[name] = Encoder(path, pattern, table.value)
+    return _CURRENT[name]
+
+
+def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = FOLDED, drawn: int = DRAWN) -> DataFrame:
+    """word (string) and its bytes: the most frequent words of a draw of documents by their texts' hash."""
+    rows = max(1, docs.count())
+    share = min(1.0, drawn / rows)
+    some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    # (?U): white space and letters by Unicode, as in the pattern's own library.
+    words = some.select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))).alias("text"))
+    top = words.where(F.octet_length("text").between(1, LONG)).groupBy("text").count().orderBy(F.desc("count"), "text").limit(most)
+    return top.repartition("text").select("text", F.encode("text", "UTF-8").alias("word"))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = True, digests: bool = True) -> DataFrame:
@@ -115,12 +136,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     decoded bytes.
 
     A null text counts as empty and has no tokens. Special strings are ordinary text. Texts
-    are never cut. path and pattern: by default those of the public package, on the workers."""
+    are never cut. path and pattern: by default those of the public package, at the same place on
+    the driver and the workers."""
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    place, split = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
+    folded = encode_words(frequent_words(docs, split, text_col), place).select("text", "ids").collect()  # FOLDED rows at most
+    table = spark.sparkContext.broadcast({r["text"]: np.array(r["ids"], "<u4").tobytes() for r in folded})
+    name = uuid.uuid4().hex
 
-        e = _encoder(path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _encoder(name, place, split, table)
         for batch in batches:
             coded = [e.encode(t.as_py() or "") for t in batch.column(1)]
             decoded = [e.decode(c) for c in coded]
