@@ -8,7 +8,7 @@ frame is a RANGE frame over the dense rank, which is added to the rows first.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -20,16 +20,14 @@ UNBOUNDED = None
 @dataclass(frozen=True)
 class Spec:
     partitions: tuple[Any, ...] = ()
-    ordering: tuple[Column, ...] = ()
+    ordering: tuple[tuple[Any, bool], ...] = ()  # column and ascending; made into Spark's only when used
     frame: tuple[str, Any, Any] | None = None
-    keys: tuple[str, ...] = field(default=())
 
     def partition_by(self, *columns: Any) -> Spec:
         return replace(self, partitions=self.partitions + columns)
 
     def order_by(self, column: Any, ascending: bool = True) -> Spec:
-        c = F.col(column) if isinstance(column, str) else column
-        return replace(self, ordering=(*self.ordering, c.asc_nulls_last() if ascending else c.desc_nulls_last()))
+        return replace(self, ordering=(*self.ordering, (column, ascending)))
 
     def rows_between(self, start: int | None, end: int | None) -> Spec:
         """Negative is before the row, 0 the row, None unbounded."""
@@ -56,7 +54,8 @@ class Spec:
         return replace(self, frame=("rows", start, 0))
 
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.partitions).orderBy(*self.ordering)
+        by = [(F.col(c) if isinstance(c, str) else c, up) for c, up in self.ordering]
+        return Window.partitionBy(*self.partitions).orderBy(*[c.asc_nulls_last() if up else c.desc_nulls_last() for c, up in by])
 
     def whole(self) -> WindowSpec:
         w = self.ordered() if self.ordering else Window.partitionBy(*self.partitions)
@@ -178,7 +177,7 @@ def over_all(df: DataFrame, functions: dict[str, Function], spec: Spec) -> DataF
             framed = replace(spec, frame=("rows", None, None))
         else:
             df = df.withColumn("__group", F.dense_rank().over(spec.ordered()))
-            framed = Spec(spec.partitions, (F.col("__group").asc(),), ("range", spec.frame[1], spec.frame[2]))
+            framed = Spec(spec.partitions, (("__group", True),), ("range", spec.frame[1], spec.frame[2]))
     new = {}
     for name, f in functions.items():
         how = f.frame if f.frame != "whole unless framed" else "framed" if spec.frame else "whole"
