@@ -167,12 +167,11 @@ def asof_join(
     # Exact matches count if the right row comes first in the sense of the scan.
     left_last = F.col("row").isNotNull().cast("int") if allow_exact else -F.col("row").isNotNull().cast("int")
     back = Window.partitionBy(*keys).orderBy(F.col("k").asc(), left_last, "turn").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col("k").desc(), left_last, F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.col("k").desc(), left_last, F.col("turn").asc()).rowsBetween(Window.unboundedPreceding, 0)
     ways = [w for w in (("before", back), ("after", ahead)) if direction == "nearest" or w[0] == ("before" if direction == "backward" else "after")]
     found = both.withColumns({name: F.last("right", ignorenulls=True).over(w) for name, w in ways}).where(F.col("row").isNotNull())
     if keys == ["bucket"] and bounds:
-        top = F.max_by("right", F.struct("k", "turn")), F.min_by("right", F.struct("k", F.negative("turn") if not right_order else F.lit(0)))
-        ends = r.groupBy("bucket").agg(top[0].alias("last"), top[1].alias("first"))
+        ends = r.groupBy("bucket").agg(F.max_by("right", F.struct("k", "turn")).alias("last"), F.max_by("right", F.struct(-_number("k", kind), "turn")).alias("first"))
         every = left.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(ends), "bucket", "left")
         up = Window.orderBy("bucket")
         ends = every.select("bucket", F.last("last", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.first("first", ignorenulls=True).over(up.rowsBetween(1, Window.unboundedFollowing)).alias("first"))

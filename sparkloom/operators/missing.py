@@ -1,26 +1,73 @@
 """Missing data, duplicates, interpolation and cumulative operators.
 
 Directional operators take order_by, a total order, and by, the columns of independent series.
-Without by there is one series, which one task works on; give by at scale.
+Without by there is one series. It isn't brought to one task: it is cut into ranges of the order,
+each range is scanned, and what a scan carries over from the ranges before (or after) comes from
+a summary of one row for each range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.operators.rows import check_columns, orders
+from sparkloom.operators.rows import check_columns, indexed, orders
 
-_ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
+@dataclass(frozen=True)
+class _Scan:
+    """A running aggregate: of a window, of a whole range, and of what comes before with what is here."""
 
+    running: Callable[[Column], Column]
+    whole: Callable[[Column], Column]
+    combine: Callable[[Column, Column], Column]
+    back: bool = False
 
-def _series(df: DataFrame, order_by: Sequence[str], by: Sequence[str]):
+
+def _either(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(f(a, b))
+
+
+_LAST = _Scan(lambda v: F.last(v, ignorenulls=True), lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("__i"))), lambda a, b: F.coalesce(b, a))
+_NEXT = _Scan(lambda v: F.first(v, ignorenulls=True), lambda v: F.min_by(v, F.when(v.isNotNull(), F.col("__i"))), lambda a, b: F.coalesce(b, a), True)
+_SUM = _Scan(F.sum, F.sum, _either(lambda a, b: a + b))
+_COUNT = _Scan(F.count, F.count, _either(lambda a, b: a + b))
+_PRODUCT = _Scan(F.product, F.product, _either(lambda a, b: a * b))
+_MAX = _Scan(F.max, F.max, _either(F.greatest))
+_MIN = _Scan(F.min, F.min, _either(F.least))
+
+
+def _scan(df: DataFrame, order_by: Sequence[str], by: Sequence[str], make: Callable[[], dict[str, tuple[_Scan, Column]]]) -> DataFrame:
+    """df with __i, the position in the series, and the scans that make() names, of values that may use __i."""
     check_columns(df, [*order_by, *by])
-    return Window.partitionBy(*by).orderBy(*orders(order_by))
+    if by:
+        w = Window.partitionBy(*by).orderBy(*orders(order_by))
+        at = df.withColumn("__i", F.row_number().over(w))
+    else:
+        at = indexed(df, order_by)
+        w = Window.partitionBy("__part").orderBy("__i")
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    scans = make()
+    out = at.withColumns({n: s.running(v).over(after if s.back else before) for n, (s, v) in scans.items()})
+    if by:
+        return out
+    totals = at.groupBy("__part").agg(*[s.whole(v).alias(n) for n, (s, v) in scans.items()])
+    line = Window.orderBy("__part")
+    earlier, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    # Sums of counts, not counts of sums: a count is carried over as a sum.
+    fold = lambda n, s: (_SUM if s is _COUNT else s).running(F.col(n)).over(later if s.back else earlier).alias(f"__c_{n}")
+    carried = totals.select("__part", *[fold(n, s) for n, (s, _) in scans.items()])
+    out = out.join(F.broadcast(carried), "__part")  # a row for each range
+    return out.withColumns({n: s.combine(F.col(f"__c_{n}"), F.col(n)) for n, (s, _) in scans.items()})
+
+
+def _here(c: str) -> Column:
+    """Position and value where there is one."""
+    return F.when(F.col(c).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(c).alias("v")))
 
 
 def drop_null(df: DataFrame, *subset: str) -> DataFrame:
@@ -52,13 +99,17 @@ def fill_value(df: DataFrame, value: Any, columns: Sequence[str] | None = None)
 
 def forward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """The last value before; of a run of nulls at most `limit` rows are filled. Leading nulls stay."""
-    w = _series(df, order_by, by).rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    return _fill(df, columns, order_by, by, limit, _LAST)
 
 
 def backward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    w = _series(df, order_by, by).rowsBetween(0, Window.unboundedFollowing if limit is None else limit)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in columns})
+    return _fill(df, columns, order_by, by, limit, _NEXT)
+
+
+def _fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str], limit: int | None, scan: _Scan) -> DataFrame:
+    at = _scan(df, order_by, by, lambda: {f"__f_{c}": (scan, _here(c)) for c in columns})
+    near = lambda c: F.lit(True) if limit is None else F.abs(F.col("__i") - F.col(f"__f_{c}.i")) <= limit
+    return at.withColumns({c: F.when(near(c), F.col(f"__f_{c}.v")) for c in columns}).select(*df.columns)
 
 
 def fill_null(df: DataFrame, columns: Sequence[str] | None = None, value: Any = None, method: str | None = None, limit: int | None = None, order_by: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
@@ -80,13 +131,9 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
         raise ValueError(f"unknown method: {method}")
     if area not in ("inside", "outside", "both"):
         raise ValueError("area is inside, outside or both")
-    w = _series(df, order_by, by)
     types = {f.name: f.dataType for f in df.schema.fields}
     names = df.columns
-    at = df.withColumn("__i", F.row_number().over(w))
-    here = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(c).alias("v"))) for c in columns}
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = at.withColumns({f"__p_{c}": F.last(here[c], ignorenulls=True).over(before) for c in columns} | {f"__n_{c}": F.first(here[c], ignorenulls=True).over(after) for c in columns})
+    at = _scan(df, order_by, by, lambda: {f"__p_{c}": (_LAST, _here(c)) for c in columns} | {f"__n_{c}": (_NEXT, _here(c)) for c in columns})
     new = {}
     for c in columns:
         if not isinstance(types[c], T.NumericType):
@@ -112,37 +159,36 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     return at.withColumns(new).select(*names)
 
 
-def _cumulative(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str], skip_nulls: bool, function, keep_type: bool = True) -> DataFrame:
-    w = _series(df, order_by, by).rowsBetween(Window.unboundedPreceding, 0)
+def _cumulative(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str], skip_nulls: bool, scan: _Scan, keep_type: bool = True) -> DataFrame:
     kinds = dict(df.dtypes)
+    at = _scan(df, order_by, by, lambda: {f"__s_{c}": (scan, F.col(c)) for c in columns})
     new = {}
     for c in columns:
-        value = function(c).over(w)
-        value = value.cast(kinds[c]) if keep_type else value
+        value = F.col(f"__s_{c}").cast(kinds[c]) if keep_type else F.col(f"__s_{c}")
         new[c] = value if skip_nulls else F.when(F.col(c).isNotNull(), value)
-    return df.withColumns(new)
+    return at.withColumns(new).select(*df.columns)
 
 
 def cum_sum(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str] = (), skip_nulls: bool = True) -> DataFrame:
     """Running sum. At a null: the sum so far, or null without skip_nulls; it goes on after either."""
-    return _cumulative(df, columns, order_by, by, skip_nulls, F.sum)
+    return _cumulative(df, columns, order_by, by, skip_nulls, _SUM)
 
 
 def cum_prod(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str] = (), skip_nulls: bool = True) -> DataFrame:
-    return _cumulative(df, columns, order_by, by, skip_nulls, lambda c: F.product(F.col(c)))
+    return _cumulative(df, columns, order_by, by, skip_nulls, _PRODUCT)
 
 
 def cum_max(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str] = (), skip_nulls: bool = True) -> DataFrame:
-    return _cumulative(df, columns, order_by, by, skip_nulls, F.max)
+    return _cumulative(df, columns, order_by, by, skip_nulls, _MAX)
 
 
 def cum_min(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str] = (), skip_nulls: bool = True) -> DataFrame:
-    return _cumulative(df, columns, order_by, by, skip_nulls, F.min)
+    return _cumulative(df, columns, order_by, by, skip_nulls, _MIN)
 
 
 def cum_count(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Values so far that aren't null, as bigint."""
-    return _cumulative(df, columns, order_by, by, True, F.count, keep_type=False)
+    return _cumulative(df, columns, order_by, by, True, _COUNT, keep_type=False)
 
 
 def null_mask(*columns: str) -> list[Column]:

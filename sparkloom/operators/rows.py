@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.storage import materialise
+
 
 def check_columns(df: DataFrame, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in df.columns]
@@ -93,17 +95,26 @@ def sort(df: DataFrame, *by: str, descending: bool | Sequence[bool] = False, nul
     return df.orderBy(*orders(by, descending, nulls_first))
 
 
-def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index", descending: bool | Sequence[bool] = False) -> DataFrame:
-    """The row's 0-based position along an order. Rows are sorted by a range partition; to a row's
-    place in its partition the sizes of the earlier ones are added."""
+def indexed(df: DataFrame, order_by: Sequence[str], descending: bool | Sequence[bool] = False) -> DataFrame:
+    """df with __i, the row's 0-based position along an order, and __part, the number of its range of
+    the order.
+
+    Rows are sorted by a range partition; to a row's place in its partition the sizes of the earlier
+    ones are added. The sorted rows are written first: splitters are sampled, so a second run of the
+    sort could cut elsewhere."""
     check_columns(df, order_by)
-    by = orders(order_by, descending)
-    ranged = df.orderBy(*by).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place"))
+    ranged = df.orderBy(*orders(order_by, descending)).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place"))
+    ranged = materialise(ranged, "ordered")
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("__part", "__first", before.alias("__before"))
     joined = ranged.join(F.broadcast(base), "__part")  # a row for each partition
-    return joined.select(*df.columns, (F.col("__before") + F.col("__place") - F.col("__first")).alias(name))
+    return joined.select(*df.columns, (F.col("__before") + F.col("__place") - F.col("__first")).alias("__i"), "__part")
+
+
+def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index", descending: bool | Sequence[bool] = False) -> DataFrame:
+    """The row's 0-based position along an order."""
+    return indexed(df, order_by, descending).withColumnRenamed("__i", name).drop("__part")
 
 
 def head(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

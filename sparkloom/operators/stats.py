@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators.agg import corr
-from sparkloom.operators.rows import check_columns
+from sparkloom.operators.missing import cum_sum
+from sparkloom.operators.rows import check_columns, indexed
+from sparkloom.storage import small_side
 
 QUANTILE_METHODS = ("linear", "lower", "higher", "midpoint", "nearest")
 
@@ -169,6 +171,10 @@ def rank(df: DataFrame, columns: Sequence[str], method: str = "average", ascendi
     if nulls not in ("keep", "top", "bottom"):
         raise ValueError("nulls is keep, top or bottom")
     check_columns(df, [*columns, *by])
+    if not by:
+        for c in columns:
+            df = _rank_all(df, c, method, ascending, nulls, pct, order_by)
+        return df
     new = {}
     for c in columns:
         missing = F.col(c).isNull()
@@ -188,5 +194,30 @@ def rank(df: DataFrame, columns: Sequence[str], method: str = "average", ascendi
     return df.withColumns(new)
 
 
+def _rank_all(df: DataFrame, c: str, method: str, ascending: bool, nulls: str, pct: bool, order_by: Sequence[str]) -> DataFrame:
+    """Ranks over the whole table, without bringing it to one task: running sums of the distinct values'
+    counts along a range partition, joined back by value."""
+    n, missing, distinct = df.agg(F.count(c), F.count(F.lit(1)) - F.count(c), F.count_distinct(c)).first()
+    if method == "ordinal":
+        flag = {"top": -1, "bottom": 1, "keep": 1}[nulls]
+        at = indexed(df.withColumn("__null", F.col(c).isNull().cast("int") * flag), ["__null", c, *order_by], [False, not ascending])
+        out, r = at, F.col("__i") + 1.0
+    else:
+        values = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__m"))
+        values = indexed(cum_sum(values.withColumn("__s", F.col("__m")), ["__s"], ["__v"]), ["__v"])
+        least = F.col("__s") - F.col("__m") + 1 if ascending else F.lit(n) - F.col("__s") + 1
+        place = F.col("__i") + 1 if ascending else F.lit(distinct) - F.col("__i")
+        before = (missing if method != "dense" else min(missing, 1)) if nulls == "top" else 0
+        by_method = {"min": least, "max": least + F.col("__m") - 1, "average": least + (F.col("__m") - 1) / 2, "dense": place}
+        ranked = values.select("__v", (by_method[method] + before).cast("double").alias("__r"))
+        out = df.join(small_side(ranked, 100_000), df[c] == F.col("__v"), "left")
+        start = 0 if nulls == "top" else distinct if method == "dense" else n
+        of_null = {"min": start + 1, "max": start + missing, "average": start + (missing + 1) / 2, "dense": start + 1}[method]
+        r = F.coalesce("__r", F.lit(float(of_null)))
+    if pct:
+        r = r / F.lit(float(n if nulls == "keep" else n + missing) or 1.0)
+    return out.withColumn(c, F.when(F.col(c).isNotNull(), r) if nulls == "keep" else r).select(*df.columns)
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select(*(columns or numeric_columns(df))).summary()

@@ -442,9 +442,9 @@ def _(o):
     return M.drop_duplicates(o.select("o_custkey", "o_orderkey"), ["o_custkey"], "last", ["o_orderkey"])
 
 
-@query("dedupe_none", "lineitem", "SELECT l_suppkey, l_quantity, max(l_orderkey) AS l_orderkey FROM lineitem GROUP BY l_suppkey, l_quantity HAVING count(*) = 1")
+@query("dedupe_none", "lineitem", "SELECT l_suppkey, l_partkey, max(l_orderkey) AS l_orderkey FROM lineitem GROUP BY l_suppkey, l_partkey HAVING count(*) = 1")
 def _(li):
-    return M.drop_duplicates(li.select("l_suppkey", "l_quantity", "l_orderkey"), ["l_suppkey", "l_quantity"], "none")
+    return M.drop_duplicates(li.select("l_suppkey", "l_partkey", "l_orderkey"), ["l_suppkey", "l_partkey"], "none")
 
 
 # ---------------------------------------------------------------- missing data, cumulative

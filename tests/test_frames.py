@@ -142,3 +142,35 @@ def test_stats(spark):
     assert column(T.rank(x, ["v"], "min", pct=True), "v") == [0.6, 0.2, 0.8, 0.2, 1.0, None]
     assert T.mode(x, ["v"]).first()["v"] == 1.0 and T.n_unique(x, ["v"]).first()["v"] == 4 and T.n_unique(x, ["v"], drop_null=False).first()["v"] == 5
     assert math.isnan(T.skew(x.limit(2), ["v"]).first()["v"])
+
+
+def test_one_series_over_many_ranges(spark):
+    """Without `by`, scans carry over between the ranges of the order."""
+    import random
+
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, None, float(rng.randint(-5, 9))])) for i in range(400)]
+    df = make(spark, data, "i int, v double").repartition(7)
+    one = df.withColumn("g", F.lit(1))
+    for f in (M.cum_sum, M.cum_max, M.cum_min, M.cum_count):
+        assert column(f(df, ["v"], ["i"]), "v") == column(f(one, ["v"], ["i"], ["g"]), "v"), f
+    for k in (None, 1, 3):
+        for f in (M.forward_fill, M.backward_fill):
+            assert column(f(df, ["v"], ["i"], limit=k), "v") == column(f(one, ["v"], ["i"], ["g"], limit=k), "v")
+        assert column(M.interpolate(df, ["v"], ["i"], limit=k, area="both"), "v") == column(M.interpolate(one, ["v"], ["i"], ["g"], limit=k, area="both"), "v")
+    assert column(R.with_row_index(df, ["i"]), "row_index") == list(range(400))
+
+
+def test_rank_of_a_whole_table(spark):
+    """Without `by` as with one group."""
+    import random
+
+    rng = random.Random(8)
+    df = make(spark, [(i, rng.choice([None, *range(12)])) for i in range(120)], "i int, v int").repartition(5)
+    one = df.withColumn("g", F.lit(1))
+    for method in ("average", "min", "max", "dense", "ordinal"):
+        for nulls in ("keep", "top", "bottom"):
+            up = method != "max"
+            a = T.rank(df, ["v"], method, up, nulls, pct=method == "min", order_by=["i"])
+            b = T.rank(one, ["v"], method, up, nulls, pct=method == "min", by=["g"], order_by=["i"])
+            assert column(a, "v") == column(b, "v"), (method, nulls)
