@@ -213,6 +213,15 @@ class Duration:
     def __mul__(self, n: int) -> Duration:
         return Duration(self.months * n, self.days * n, self.nanoseconds * n)
 
+    def __str__(self) -> str:
+        """As in `1y 2mo 3d 4h 5min 6.5s`."""
+        sign = "-" if self.months < 0 or self.days < 0 or self.nanoseconds < 0 else ""
+        seconds, nanos = divmod(abs(self.nanoseconds), 10**9)
+        parts = [(abs(self.months) // 12, "y"), (abs(self.months) % 12, "mo"), (abs(self.days), "d"), (seconds // 3600, "h"), (seconds // 60 % 60, "min")]
+        rest = f"{seconds % 60}.{nanos:09}".rstrip("0").rstrip(".")
+        text = " ".join([f"{n}{u}" for n, u in parts if n] + ([f"{rest}s"] if rest != "0" else []))
+        return sign + text if text else "0s"
+
     def interval(self) -> Column:
         return F.make_interval(months=F.lit(self.months), days=F.lit(self.days), secs=F.lit(self.nanoseconds / 1e9))
 

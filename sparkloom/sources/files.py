@@ -229,3 +229,22 @@ def to_json_text(df: DataFrame, orient: str = "records", pretty: bool = False) -
     else:
         raise ValueError("orient is records, columns or values")
     return json.dumps(data, indent=2 if pretty else None, ensure_ascii=False)
+
+
+def write_json(df: DataFrame, path: str, orient: str = "records", pretty: bool = False, compress: bool = False) -> None:
+    """One JSON text in one part file, written by an executor; for small tables. Large ones go to
+    write_ndjson."""
+    text = df.sparkSession.createDataFrame([(to_json_text(df, orient, pretty),)], "value string")
+    text.coalesce(1).write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
+
+
+# ---- Arrow
+
+
+def from_arrow(spark: SparkSession, table: Any) -> DataFrame:
+    return spark.createDataFrame(table)
+
+
+def to_arrow(df: DataFrame) -> Any:
+    """The whole table on the driver."""
+    return df.toArrow()
