@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.storage import materialise, small_side
+
+__all__ = ["NOT_WS", "WS", "count_words", "materialise", "partitions", "single_spaced", "small_side"]
+
 #: White space of every word rule here: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-DEFAULT_DIR = "/tmp/checkpoints/sparkloom"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives
-    lost executors, keeps column pruning. The files go when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else df as it is (then
-    the join shuffles and adaptive execution splits skewed keys). df must be cheap to count."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
