@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -31,7 +32,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words that a worker keeps at most beyond the table.
 KEPT = 300_000
 #: Words of the table at most, and documents that it is drawn from.
-FOLDED, DRAWN = 60_000, 4_000
+FOLDED, DRAWN = 20_000, 4_000
 #: Longer words go by a heap instead of passes over all pairs.
 LONG = 48
 BUCKETS = 4096
@@ -115,7 +116,9 @@ _CURRENT: dict[str, Encoder] = {}
 def _encoder(name: str, path: str, pattern: str, table) -> Encoder:
     if name not in _CURRENT:
         _CURRENT.clear()
-        _CURRENT[name] = Encoder(path, pattern, table.value)
+        rows = pa.ipc.open_stream(table.value).read_all()
+        ids = rows.column("ids").to_pylist()
+        _CURRENT[name] = Encoder(path, pattern, {w: np.array(i, "<u4").tobytes() for w, i in zip(rows.column("text").to_pylist(), ids, strict=True)})
     return _CURRENT[name]
 
 
@@ -130,21 +133,29 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most:
     return top.repartition("text").select("text", F.encode("text", "UTF-8").alias("word"))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = True, digests: bool = True) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = True, digests: bool = True, table_words: int = FOLDED) -> DataFrame:
     """One row for each row of docs: id, n_tokens and, as asked for, ids (array of int), decoded
     (binary) or the SHA-256 of the identifiers as little-endian 32-bit integers and of the
     decoded bytes.
 
     A null text counts as empty and has no tokens. Special strings are ordinary text. Texts
     are never cut. path and pattern: by default those of the public package, at the same place on
-    the driver and the workers."""
+    the driver and the workers. table_words: size of the table of frequent words at most; with 0
+    there is none, and the driver, whose plans hold the literal map, needs some 250 MB less."""
 
     import public_tokenizers
 
     spark = docs.sparkSession
     place, split = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
-    folded = encode_words(frequent_words(docs, split, text_col), place).select("text", "ids").collect()  # FOLDED rows at most
-    table = spark.sparkContext.broadcast({r["text"]: np.array(r["ids"], "<u4").tobytes() for r in folded})
+    if table_words:
+        folded = encode_words(frequent_words(docs, split, text_col, table_words), place).select("text", "ids").toArrow()
+    else:
+        folded = pa.table({"text": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, folded.schema) as out:
+        out.write_table(folded)
+    table = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del folded, sink
     name = uuid.uuid4().hex
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +181,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 def _rank_map(path: str) -> Column:
     """The ranks as a literal: an array of maps from hexadecimal pieces to ranks, a map for
     each remainder of the piece's checksum, as a lookup in one map takes time in proportion to it."""
-    import json
-    import zlib
-
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    maps: list[list[str]] = [[] for _ in range(BUCKETS)]
     for piece, rank in read_ranks(path).items():
-        maps[zlib.crc32(piece) % BUCKETS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+        maps[zlib.crc32(piece) % BUCKETS].append(f'"{piece.hex().upper()}":{rank}')
+    return F.from_json(F.lit("[" + ",".join("{" + ",".join(m) + "}" for m in maps) + "]"), "array<map<string,int>>")
 
 
 def encode_words(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
