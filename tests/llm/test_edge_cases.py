@@ -234,6 +234,28 @@ def test_mixing(spark, docs, empty):
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_targets_against_resharing(spark):
+    import random
+
+    rng = random.Random(6)
+    for _ in range(6):
+        sizes = {f"s{i:02}": rng.choice([1, 3, 50, 4000, 90_000]) for i in range(rng.randint(1, 12))}
+        total, names = sum(sizes.values()), sorted(sizes)
+        weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+        full: set[str] = set()
+        while True:  # share by weight; whoever is above the limit stops there, the rest is shared anew
+            rest = total - sum(3 * sizes[s] for s in full)
+            open_ = [s for s in names if s not in full]
+            want = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+            over = {s for s in open_ if want[s] > 3 * sizes[s]}
+            if not over:
+                break
+            full |= over
+        want |= {s: 3.0 * sizes[s] for s in full}
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        assert all(abs(r.target - want[r.source]) <= 1e-6 * total for r in got) and len(got) == len(sizes)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="<p>no</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a>Menu</a></li><li><a>More</a></li></ul></nav><div class="cookie-notice">We use cookies</div><!-- c -->
 <article><h1>Title &amp; more</h1><p>First   <b>bold</b>\n text<br>next<p>Unclosed &copy; &#233; %s<ul><li>Item<li>Two</ul><aside>side</aside><form><p>Your mail</p></form><div class="comments"><p>Nice!</p></div></article>
