@@ -15,8 +15,9 @@ from sparkloom.operators.rows import check_columns
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 BROADCAST_ROWS = 100_000
-#: Ranges that an inequality or ungrouped as-of join is dealt over.
-BUCKETS = 32
+#: Ranges that an inequality or ungrouped as-of join is dealt over: as many as shuffle partitions,
+#: within these bounds.
+BUCKETS = (32, 256)
 
 
 def _few(df: DataFrame) -> bool:
@@ -67,9 +68,10 @@ def join(left: DataFrame, right: DataFrame, on: str | Sequence[str] | None = Non
 _SWAPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
-def _bounds(values: DataFrame, column: str, n: int) -> list:
-    """Up to n - 1 distinct quantiles of a numeric column."""
-    found = values.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 1000)).first()[0]
+def _bounds(values: DataFrame, column: str) -> list:
+    """Distinct quantiles of a numeric column that cut it into the ranges."""
+    n = min(max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS[0]), BUCKETS[1])
+    found = values.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 4 * n)).first()[0]
     return sorted(set(found or []))
 
 
@@ -118,7 +120,7 @@ def join_where(left: DataFrame, right: DataFrame, predicates: Sequence[tuple[str
         joined = F.broadcast(a).join(b, condition)
     else:
         x, op, y = plain[0]
-        bounds = _bounds(b, rb[y], BUCKETS)
+        bounds = _bounds(b, rb[y])
         own, last = _bucket(F.col(la[x]), bounds), F.lit(len(bounds))
         reach = F.sequence(own, last) if op in ("<", "<=") else F.sequence(F.lit(0), own)
         a = a.where(F.col(la[x]).isNotNull()).withColumn("bucket", F.explode(reach))
@@ -159,7 +161,7 @@ def asof_join(
     keys = [f"b{i}" for i in range(len(lb))]
     bounds: list = []
     if not keys:
-        bounds = _bounds(r.select(_number("k", kind).alias("k")), "k", BUCKETS)
+        bounds = _bounds(r.select(_number("k", kind).alias("k")), "k")
         l = l.withColumn("bucket", F.coalesce(_bucket(_number("k", kind), bounds), F.lit(0)))  # noqa: E741
         r = r.withColumn("bucket", _bucket(_number("k", kind), bounds))
         keys = ["bucket"]
