@@ -46,12 +46,12 @@ def median(c: str) -> Column:
 
 
 def first(c: str, by: str) -> Column:
-    """First value along `by` that isn't null."""
-    return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(by)))
+    """First value along `by` that isn't null; rows without a place in the order don't count."""
+    return F.min_by(c, F.when(F.col(c).isNotNull(), F.col(by)))
 
 
 def last(c: str, by: str) -> Column:
-    return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(by)))
+    return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(by)))
 
 
 def corr(a: str, b: str) -> Column:
