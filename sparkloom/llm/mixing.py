@@ -112,7 +112,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan_mix(docs, id_col, text_col, source_col, seed).groupBy(F.col(id_col).alias("plan_id"))
     plan = materialise(plan.agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("among")), "mix-plan")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"))
-    joined = rows.join(plan, rows["row_id"].eqNullSafe(plan["plan_id"]))
+    # The plan has a row for each document; it is never broadcast, so that all sizes run alike.
+    joined = rows.join(plan.hint("merge"), rows["row_id"].eqNullSafe(plan["plan_id"]))
     out = joined.where("among = 1").select("row", F.col("total").alias("times"))
     if not plan.where("among > 1").isEmpty():
         nth = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row")))
