@@ -13,15 +13,20 @@ a repeated group of items; each item may be optional. There is no union.
 4. In the wrapper, the element that holds most of the variable text outside of furniture
    (menus, headers, footers, sidebars, notices, adverts, forms, comments) is the host's main
    element; `article` and `main` elements come first.
-5. Pages are read again with the main element of their host.
+5. Pages are read again with the main element of their host, and matched with its wrapper. A
+   block goes if each of its texts is one that its slot has on every page with that slot, two
+   different pages at least. `article` and `main` elements stay whole: all in them is the page's.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -131,7 +136,8 @@ class _Stack:
 
 # ---------------------------------------------------------------- wrappers
 # An item is [key, optional, weight]; key is "<name.mark", ">name", "#path" or ("+", keys of the group). The
-# weight of a text slot is the number of characters seen, negative while they were all equal.
+# weight of a text slot has the number of characters seen (n), the characters of each text that was in it on every
+# page so far, by digest (same), and the digest of the page while there was one page only, else null (page).
 
 
 def _item_keys(items: list) -> tuple:
@@ -170,24 +176,49 @@ def _weights(item: list):
 
 
 def _merge_weight(a, b):
+    """The weight of a slot of two sides that match: a text stays the same if both have it."""
     if isinstance(a, list):
         return [_merge_weight(x, y) for x, y in zip(a, b, strict=True)]
     if a is None:
         return b
     if b is None:
         return a
-    # Texts: [characters, text or null once it varies].
-    return {"n": a["n"] + b["n"], "same": a["same"] if a["same"] is not None and a["same"] == b["same"] else None}
+    return {"n": a["n"] + b["n"], "same": {k: n + b["same"][k] for k, n in a["same"].items() if k in b["same"]}, "page": a["page"] if a["page"] == b["page"] else None}
+
+
+def _join_weight(a, b) -> None:
+    """The weight a of a group's slot takes in that of a repeat beside it. What was seen on one page only
+    isn't known to stay the same where the other is of other pages."""
+    if isinstance(a, list):
+        for x, y in zip(a, b, strict=True):
+            _join_weight(x, y)
+    elif a is not None:
+        a["n"] += b["n"]
+        if a["page"] != b["page"]:
+            if a["page"] is not None:
+                a["same"].clear()
+            a["page"], taken = None, b["same"] if b["page"] is None else {}
+        else:
+            taken = b["same"]
+        for k, n in taken.items():
+            a["same"][k] = a["same"].get(k, 0) + n
+        for k, places in b.get("at", {}).items():
+            a["at"].setdefault(k, []).extend(places)
 
 
 def _absorb(group: list, items: list) -> None:
-    group[2] = [_merge_weight(w, _weights(i)) for w, i in zip(group[2], items, strict=True)]
+    for w, i in zip(group[2], items, strict=True):
+        _join_weight(w, _weights(i))
 
 
-def describe(page: str) -> list:
-    """The folded items of a page."""
-    items, stack = [], _Stack()
-    for kind, name, rest in tokens(page):
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def describe(page: str, places: bool = False) -> list:
+    """The folded items of a page; with places, text slots also have the numbers of their tokens by digest (at)."""
+    items, stack, whole = [], _Stack(), _digest(page)
+    for number, (kind, name, rest) in enumerate(tokens(page)):
         if kind == "<":
             stack.start(name, rest)
             items.append([f"<{name}.{rest}", False, None])
@@ -197,7 +228,9 @@ def describe(page: str) -> list:
         elif rest and not rest.isspace():
             # A slot is known by the elements it stands in, as far as they matter.
             path = "/".join(f"{n}.{m}" if m else n for n, m, _, block in stack.open if block or m)
-            items.append([f"#{path}", False, {"n": len(rest), "same": rest[:80] if len(rest) <= 80 else None}])
+            text = _digest(" ".join(rest.split()))
+            weight = {"n": len(rest), "same": {text: len(rest)} if len(rest) <= 80 else {}, "page": whole}
+            items.append([f"#{path}", False, weight | {"at": {text: [number]}} if places else weight])
     return _fold(items)
 
 
@@ -210,25 +243,32 @@ def align(wrapper: list | None, page: list) -> list:
     if _item_keys(wrapper) == _item_keys(page):
         return [[a[0], a[1] or b[1], _merge_weight(a[2], b[2])] for a, b in zip(wrapper, page, strict=True)]
     page, wrapper = _as_groups(page, wrapper), _as_groups(wrapper, page)
-    a, b = _item_keys(wrapper), _item_keys(page)
-    # Longest common subsequence of the keys.
+    out, i, j = [], 0, 0
+    for x, y in [*_pairs(_item_keys(wrapper), _item_keys(page)), (len(wrapper), len(page))]:
+        out += [[k, True, w] for k, _, w in wrapper[i:x]] + [[k, True, w] for k, _, w in page[j:y]]
+        if x < len(wrapper):
+            out.append([wrapper[x][0], wrapper[x][1] or page[y][1], _merge_weight(wrapper[x][2], page[y][2])])
+        i, j = x + 1, y + 1
+    return _fold(out)
+
+
+def _pairs(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         row, below = rows[i], rows[i + 1]
         for j in range(len(b) - 1, -1, -1):
             row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append([a[i], wrapper[i][1] or page[j][1], _merge_weight(wrapper[i][2], page[j][2])])
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and rows[i + 1][j] >= rows[i][j + 1]:
-            out.append([a[i], True, wrapper[i][2]])
+        elif rows[i + 1][j] >= rows[i][j + 1]:
             i += 1
         else:
-            out.append([b[j], True, page[j][2]])
             j += 1
-    return _fold(out)
+    return out
 
 
 def _as_groups(items: list, other: list) -> list:
@@ -258,6 +298,42 @@ def load(text: str) -> list:
     return [[key(k), o, w] for k, o, w in json.loads(text)]
 
 
+def template(wrapper: list) -> list:
+    """The wrapper with only the texts that stay the same, for `constants`."""
+
+    def kept(weight):
+        if isinstance(weight, list):
+            return [kept(w) for w in weight]
+        return weight and {"same": sorted(weight["same"]) if weight["page"] is None else []}
+
+    return [[k, o, kept(w)] for k, o, w in wrapper]
+
+
+def constants(page: list, known: list) -> set[int]:
+    """Numbers of the tokens of a page (described with places) that stay the same by the host's template."""
+    if len(page) > LONGEST or len(known) > LONGEST:
+        return set()
+    page, known = _as_groups(page, known), _as_groups(known, page)
+    found: set[int] = set()
+
+    def walk(a, b) -> None:
+        if isinstance(a, list):
+            for x, y in zip(a, b, strict=True):
+                walk(x, y)
+        elif a:
+            for k in a["same"]:
+                found.update(b["at"].get(k, ()))
+
+    for i, j in _pairs(_item_keys(known), _item_keys(page)):
+        walk(known[i][2], page[j][2])
+    return found
+
+
+def _own(name: str, mark: str) -> bool:
+    """An element whose whole text is the page's own."""
+    return name in MAIN or mark == "main"
+
+
 def main_element(wrapper: list) -> str:
     """`name.mark` of the host's main element: article or main if a text slot that varies stands in
     one, else the innermost block element that holds most of the variable text outside of furniture."""
@@ -268,7 +344,7 @@ def main_element(wrapper: list) -> str:
             for k, w in zip(key[1], weight, strict=True):
                 walk(k, w)
         elif key.startswith("#") and weight:
-            mass[key[1:]] = mass.get(key[1:], 0) + (weight["n"] if weight["same"] is None else 0)
+            mass[key[1:]] = mass.get(key[1:], 0) + weight["n"] - (sum(weight["same"].values()) if weight["page"] is None else 0)
 
     for key, _, weight in wrapper:
         walk(key, weight)
@@ -292,8 +368,9 @@ def main_element(wrapper: list) -> str:
 # ---------------------------------------------------------------- extraction
 
 
-def extract(page: str | None, main: str) -> str:
-    """Blocks of the main element, or of the whole body where the page has none, without furniture."""
+def extract(page: str | None, main: str, known: list | None = None) -> str:
+    """Blocks of the main element, or of the whole body where the page has none, without furniture and
+    what stays the same by the host's template. A page of nothing else keeps its text."""
     if not page:
         return ""
     inside = _blocks(page, main) if main else None
@@ -302,26 +379,37 @@ def extract(page: str | None, main: str) -> str:
             inside = _blocks(page, name)
             if inside is not None:
                 break
-    return "\n\n".join(inside or [])
+    if known and not all(own for _, _, own in inside):
+        same = constants(describe(page, places=True), known)
+        inside = [b for b in inside if b[2] or not same.issuperset(b[1])] or inside
+    return "\n\n".join(text for text, _, _ in inside)
 
 
-def _blocks(page: str, main: str) -> list[str] | None:
-    stack, blocks, current, seen = _Stack(), [], [], not main
+def _blocks(page: str, main: str) -> list[tuple[str, list[int], bool]] | None:
+    """(text, numbers of its tokens, whether all are within an element of the page's own)."""
+    stack, blocks, current, places, seen = _Stack(), [], [], [], not main
     name_of, _, mark_of = main.partition(".")
+    all_own, own = _own(name_of, mark_of), True
 
     def flush() -> None:
+        nonlocal own
         if current:
             text = _SPACE.sub(" ", html_lib.unescape("".join(current))).strip()
-            current.clear()
             if text:
-                blocks.append(text)
+                blocks.append((text, places.copy(), own))
+            current.clear()
+            places.clear()
+            own = True
 
     is_main = lambda n, m: n == name_of and m == mark_of
     depth = None if main else 0  # number of open elements when the main one was opened
-    for kind, name, rest in tokens(page):
+    for number, (kind, name, rest) in enumerate(tokens(page)):
         if kind == "#":
             if depth is not None and not stack.furniture():
                 current.append(rest)
+                if not rest.isspace():
+                    places.append(number)
+                    own = all_own or own and any(_own(n, m) for n, m, _, _ in stack.open)
             continue
         if name in BLOCKS:
             flush()
@@ -347,16 +435,34 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+def _bare(page: str) -> bool:
+    """Whether a page has no article or main element outside of furniture."""
+    stack = _Stack()
+    for kind, name, rest in tokens(page):
+        if kind == "<":
+            if name in MAIN and not rest and not stack.furniture():
+                return False
+            stack.start(name, rest)
+        elif kind == ">":
+            stack.end(name)
+    return True
+
+
+_PARTS = "host string, wrapper string, bare boolean"
+
+
 def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, list] = {}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([dump(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
+        texts = [dump(w) for w, _ in found.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(texts, pa.string()), pa.array([b for _, b in found.values()], pa.bool_())], names=["host", "wrapper", "bare"])
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if page.is_valid:
-                found[host] = align(found.get(host), describe(page.as_py()))
+                text, (wrapper, bare) = page.as_py(), found.get(host, (None, False))
+                found[host] = align(wrapper, describe(text)), bare or _bare(text)
         if len(found) > 2000:
             yield out()
             found = {}
@@ -367,22 +473,27 @@ def _join_wrappers(pdf: pd.DataFrame) -> pd.DataFrame:
     wrapper = None
     for text in sorted(pdf["wrapper"]):
         wrapper = align(wrapper, load(text))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [dump(wrapper)]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [dump(wrapper)], "bare": [bool(pdf["bare"].any())]})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON), main: one row for each host of pages."""
+    """host, wrapper (JSON), main, known (JSON, compressed): one row for each host of pages. known is the
+    template; null where all pages give an element of their own, whose text all stays."""
     narrow = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    parts = narrow.mapInArrow(_describe_batches, "host string, wrapper string").withColumn("piece", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = narrow.mapInArrow(_describe_batches, _PARTS).withColumn("piece", F.pmod(F.spark_partition_id(), F.lit(64)))
     parts = materialise(parts, "html-parts")
-    pieces = parts.groupBy("host", "piece").applyInPandas(_join_wrappers, "host string, wrapper string")
-    whole = pieces.groupBy("host").applyInPandas(_join_wrappers, "host string, wrapper string")
+    pieces = parts.groupBy("host", "piece").applyInPandas(_join_wrappers, _PARTS)
+    whole = pieces.groupBy("host").applyInPandas(_join_wrappers, _PARTS)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(main=[main_element(load(w)) for w in pdf["wrapper"]])
+            made = [load(w) for w in pdf["wrapper"]]
+            main = [main_element(w) for w in made]
+            own = [_own(*(m.split(".") + [""])[:2]) for m in main]
+            known = [zlib.compress(dump(template(w)).encode()) if b or not o else None for w, b, o in zip(made, pdf["bare"], own, strict=True)]
+            yield pd.DataFrame({"host": pdf["host"], "wrapper": pdf["wrapper"], "main": main, "known": known})
 
-    return whole.mapInPandas(choose, "host string, wrapper string, main string")
+    return whole.mapInPandas(choose, "host string, wrapper string, main string, known binary")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -391,16 +502,22 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null, empty or text-free page has the empty text. A null url, or one without a host, is of
     the host ''. Pages without the host's main element give their article, else main, else body.
     White space in a block becomes one space; blocks are joined by an empty line. Rows that
-    repeat are extracted each."""
-    known = materialise(wrappers(pages, url_col, html_col).select("host", "main"), "html-main")
-    known = small_side(known.select(F.col("host").alias("known_host"), "main"), 200_000)
+    repeat are extracted each, and count as one page for what stays the same."""
+    known = materialise(wrappers(pages, url_col, html_col).select("host", "main", "known"), "html-main")
+    # The main elements can be sent to all executors; templates are larger and only for the hosts that need one.
+    main = small_side(known.select(F.col("host").alias("known_host"), "main"), 200_000)
+    templates = small_side(known.where("known IS NOT NULL").select(F.col("host").alias("template_host"), "known"), 2_000)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.join(known, rows["host"] == F.col("known_host"), "left").select("id", "url", "html", F.coalesce("main", F.lit("")).alias("main"))
+    rows = rows.join(main, rows["host"] == F.col("known_host"), "left").join(templates, rows["host"] == F.col("template_host"), "left")
+    rows = rows.select("id", "url", "html", F.coalesce("main", F.lit("")).alias("main"), "known")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = lru_cache(64)(lambda known: load(zlib.decompress(known).decode()))
         for batch in batches:
-            texts = [extract(h.as_py(), m) for h, m in zip(batch.column("html"), batch.column("main").to_pylist(), strict=True)]
+            texts = []
+            for h, m, k in zip(batch.column("html"), batch.column("main").to_pylist(), batch.column("known"), strict=True):
+                texts.append(extract(h.as_py(), m, opened(k.as_py()) if k.is_valid else None))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     out = rows.mapInArrow(extracted, f"id {kind}, url string, text string, n_chars long")
