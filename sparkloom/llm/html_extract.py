@@ -50,8 +50,10 @@ MARKS = {
     "footer", "gdpr", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies",
     "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
-#: Folding looks for repeats of at most so many items; a wrapper of more items stays as it is.
-REPEAT, LONGEST = 12, 400
+#: Folding looks for repeats of at most so many items.
+REPEAT = 12
+#: Bits of a table of the alignment that are held at once; a larger one is halved first.
+TABLE = 1 << 28
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
@@ -238,8 +240,6 @@ def align(wrapper: list | None, page: list) -> list:
     """The wrapper of both: matched items, and the others as optional ones in their order."""
     if wrapper is None:
         return page
-    if len(wrapper) > LONGEST or len(page) > LONGEST:
-        return wrapper if len(wrapper) >= len(page) else page
     if _item_keys(wrapper) == _item_keys(page):
         return [[a[0], a[1] or b[1], _merge_weight(a[2], b[2])] for a, b in zip(wrapper, page, strict=True)]
     page, wrapper = _as_groups(page, wrapper), _as_groups(wrapper, page)
@@ -253,32 +253,89 @@ def align(wrapper: list | None, page: list) -> list:
 
 
 def _pairs(a: tuple, b: tuple) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
-    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below = rows[i], rows[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif rows[i + 1][j] >= rows[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    """Places of a longest common subsequence, at any length: a row of the table is an integer with a bit for each
+    step along b (Hyyrö's bit-parallel rule), and tables that don't fit memory are halved (Hirschberg)."""
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    tail = 0
+    while tail < end - start and a[-tail - 1] == b[-tail - 1]:
+        tail += 1
+    out = [(i, i) for i in range(start)]
+    todo = [(start, len(a) - tail, start, len(b) - tail)]
+    while todo:
+        i, i_end, j, j_end = todo.pop()
+        n, m = i_end - i, j_end - j
+        if not n or not m:
+            continue
+        if n == 1 or n * m <= TABLE:
+            out += [(i + x, j + y) for x, y in _traced(a[i:i_end], b[j:j_end])]
+            continue
+        half = n // 2
+        before = _lengths(a[i : i + half], b[j:j_end])
+        after = _lengths(a[i + half : i_end][::-1], b[j:j_end][::-1])
+        cut = max(range(m + 1), key=lambda y: before[y] + after[m - y])
+        todo += [(i + half, i_end, j + cut, j_end), (i, i + half, j, j + cut)]
+    return out + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
+
+
+def _rows(a: tuple, b: tuple) -> Iterator[int]:
+    """The table's rows; bit y is clear where the length grows from b[:y] to b[:y + 1]."""
+    places: dict = {}
+    for y, key in enumerate(b):
+        places.setdefault(key, []).append(y)
+    width = (len(b) + 7) // 8
+    masks = {}
+    for key in set(a) & places.keys():
+        bits = bytearray(width)
+        for y in places[key]:
+            bits[y >> 3] |= 1 << (y & 7)
+        masks[key] = int.from_bytes(bits, "little")
+    all_ones = (1 << len(b)) - 1
+    row = all_ones
+    for key in a:
+        if both := row & masks.get(key, 0):
+            row = ((row + both) | (row - both)) & all_ones
+        yield row
+
+
+def _lengths(a: tuple, b: tuple) -> list[int]:
+    """Lengths of the longest common subsequences of a with each start of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    out, bits = [0], row.to_bytes((len(b) + 7) // 8, "little")
+    for y in range(len(b)):
+        out.append(out[-1] + 1 - (bits[y >> 3] >> (y & 7) & 1))
     return out
 
 
+def _traced(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    width = (len(b) + 7) // 8
+    rows = [row.to_bytes(width, "little") for row in _rows(a, b)]
+    out, x, y = [], len(a), len(b)
+    while x and y:
+        at, bit = y - 1 >> 3, 1 << (y - 1 & 7)
+        if rows[x - 1][at] & bit:
+            y -= 1
+        elif x > 1 and not rows[x - 2][at] & bit:
+            x -= 1
+        else:
+            x, y = x - 1, y - 1
+            out.append((x, y))
+    return out[::-1]
+
+
 def _as_groups(items: list, other: list) -> list:
     """Single occurrences of the other side's groups become groups."""
-    groups = sorted({i[0][1] for i in other if isinstance(i[0], tuple)}, key=len, reverse=True)
+    groups: dict = {}
+    for g in sorted({i[0][1] for i in other if isinstance(i[0], tuple)}, key=len, reverse=True):
+        groups.setdefault(g[0], []).append(g)
     if not groups:
         return items
     out, at, keys = [], 0, _item_keys(items)
     while at < len(items):
-        for g in groups:
+        for g in groups.get(keys[at], ()):
             if keys[at : at + len(g)] == g:
                 out.append([("+", g), any(i[1] for i in items[at : at + len(g)]), [_weights(i) for i in items[at : at + len(g)]]])
                 at += len(g)
@@ -311,8 +368,6 @@ def template(wrapper: list) -> list:
 
 def constants(page: list, known: list) -> set[int]:
     """Numbers of the tokens of a page (described with places) that stay the same by the host's template."""
-    if len(page) > LONGEST or len(known) > LONGEST:
-        return set()
     page, known = _as_groups(page, known), _as_groups(known, page)
     found: set[int] = set()
 
@@ -463,7 +518,7 @@ def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             if page.is_valid:
                 text, (wrapper, bare) = page.as_py(), found.get(host, (None, False))
                 found[host] = align(wrapper, describe(text)), bare or _bare(text)
-        if len(found) > 2000:
+        if len(found) > 2000 or sum(len(w) for w, _ in found.values()) > 500_000:
             yield out()
             found = {}
     yield out()

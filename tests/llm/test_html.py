@@ -1,5 +1,7 @@
 """Pages matched with the wrapper of their host."""
 
+import random
+
 from sparkloom.llm import html_extract
 
 
@@ -31,3 +33,36 @@ def test_nothing_is_constant_without_another_page(spark):
     assert got[1:4] == ["A title\n\nSome text."] * 3 and got[4] == "cell"
     # An article stays whole; a page without one is matched with its host's wrapper.
     assert got[5:] == [f"News\n\nNumber {i}." for i in range(4)] + ["bare"]
+
+
+def test_long_pages_are_aligned(spark):
+    deal = random.Random(1)
+    frame = "<body><div>site name</div><div>%s</div><div>all rights</div></body>"
+    parts = [f"<h{deal.randint(1, 6)}>x{i}" for i in range(3000)]
+    long = frame % "".join(f"{p}</{p[1:3]}>" for p in parts)
+    short = [frame % f"<p>Text {i}.</p>" for i in range(6)]
+    assert len(html_extract.describe(long)) > 400
+    wrapper = None
+    for page in (short[0], long, short[1]):
+        wrapper = html_extract.align(wrapper, html_extract.describe(page))
+    keys = [i[0] for i in wrapper]
+    assert "<p." in keys and len(keys) > 400
+    got = texts(spark, [("a.example", p) for p in [*short[:3], long, *short[3:]]])
+    assert got[3] == "\n\n".join(p[4:] for p in parts)
+    assert got[:3] + got[4:] == [f"Text {i}." for i in range(6)]
+
+
+def test_alignment_is_longest_at_any_size(monkeypatch):
+    deal = random.Random(2)
+    for table in (1, 20, html_extract.TABLE) * 100:
+        monkeypatch.setattr(html_extract, "TABLE", table)
+        a, b = (tuple(deal.choices("abcd", k=deal.randint(0, 30))) for _ in "ab")
+        best = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(best[j] + 1 if x == y else max(best[j + 1], row[j]))
+            best = row
+        pairs = html_extract._pairs(a, b)
+        assert len(pairs) == best[-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
