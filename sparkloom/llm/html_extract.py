@@ -231,7 +231,7 @@ def describe(page: str, places: bool = False) -> list:
             # A slot is known by the elements it stands in, as far as they matter.
             path = "/".join(f"{n}.{m}" if m else n for n, m, _, block in stack.open if block or m)
             text = _digest(" ".join(rest.split()))
-            weight = {"n": len(rest), "same": {text: len(rest)} if len(rest) <= 80 else {}, "page": whole}
+            weight = {"n": len(rest), "same": {text: len(rest)}, "page": whole}
             items.append([f"#{path}", False, weight | {"at": {text: [number]}} if places else weight])
     return _fold(items)
 

@@ -66,3 +66,14 @@ def test_alignment_is_longest_at_any_size(monkeypatch):
         pairs = html_extract._pairs(a, b)
         assert len(pairs) == best[-1] and all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_long_texts_are_compared(spark):
+    notice = "We and our partners keep and read data on your device in order to measure how pages are used. " * 20
+    # No mark tells the notice from the text, and it is far longer.
+    page = "<body><div><section><p>" + notice + "</p></section></div><div><div><p>Short text %s.</p></div></div></body>"
+    wrapper = None
+    for i in range(4):
+        wrapper = html_extract.align(wrapper, html_extract.describe(page % i))
+    assert html_extract.main_element(wrapper) == "div"
+    assert texts(spark, [("a.example", page % i) for i in range(4)]) == [f"Short text {i}." for i in range(4)]
