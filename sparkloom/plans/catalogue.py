@@ -270,6 +270,40 @@ def _(c, s):
     return J.join_where(c.where("c_nationkey > 20").select("c_custkey", "c_acctbal", "c_nationkey"), s.select("s_suppkey", "s_acctbal", "s_nationkey"), [("c_acctbal", ">=", "s_acctbal"), ("c_nationkey", "<", "s_nationkey")]).select("c_custkey", "s_suppkey")
 
 
+# The same operators over whole tables. Shifted keys leave customers and orders without a match.
+
+_SHIFTED_C = "(SELECT c_custkey + 40 AS c_custkey, c_name FROM customer)"
+
+
+def _shifted(c: DataFrame) -> DataFrame:
+    return c.select((F.col("c_custkey") + 40).alias("c_custkey"), "c_name")
+
+
+@query("join_left_whole", ("customer", "orders"), f"SELECT c_custkey, o_orderkey FROM {_SHIFTED_C} LEFT JOIN orders ON c_custkey = o_custkey")
+def _(c, o):
+    return J.join(_shifted(c).select("c_custkey"), o.select("o_custkey", "o_orderkey"), how="left", left_on=["c_custkey"], right_on=["o_custkey"])
+
+
+@query("join_right_whole", ("orders", "customer"), f"SELECT o_orderkey, c_custkey AS o_custkey FROM orders RIGHT JOIN {_SHIFTED_C} ON o_custkey = c_custkey")
+def _(o, c):
+    return J.join(o.select("o_orderkey", "o_custkey"), _shifted(c).select("c_custkey"), how="right", left_on=["o_custkey"], right_on=["c_custkey"])
+
+
+@query("join_semi_whole", ("customer", "orders"), f"SELECT c_custkey, c_name FROM {_SHIFTED_C} WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def _(c, o):
+    return J.join(_shifted(c), o, how="semi", left_on=["c_custkey"], right_on=["o_custkey"])
+
+
+@query("join_anti_whole", ("customer", "orders"), f"SELECT c_custkey, c_name FROM {_SHIFTED_C} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(c, o):
+    return J.join(_shifted(c), o, how="anti", left_on=["c_custkey"], right_on=["o_custkey"])
+
+
+@query("join_where_2_whole", ("customer", "supplier"), "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal >= s_acctbal AND c_nationkey < s_nationkey")
+def _(c, s):
+    return J.join_where(c.select("c_custkey", "c_acctbal", "c_nationkey"), s.select("s_suppkey", "s_acctbal", "s_nationkey"), [("c_acctbal", ">=", "s_acctbal"), ("c_nationkey", "<", "s_nationkey")]).select("c_custkey", "s_suppkey")
+
+
 def _sides(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = e.where("event_id % 2 = 0").select("event_id", "ts", "user_id")
     right = e.where("event_id % 2 = 1").select("ts", "user_id", F.col("event_id").alias("hit"), F.col("value").alias("hit_value"))
@@ -507,6 +541,11 @@ def _(li):
     return M.cum_prod(df, ["p"], ["l_linenumber"], ["l_orderkey"])
 
 
+@query("cumprod_whole", "lineitem", "SELECT l_orderkey, l_linenumber, product(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS p FROM lineitem")
+def _(li):
+    return M.cum_prod(li.select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("double").alias("p")), ["p"], ["l_linenumber"], ["l_orderkey"])
+
+
 # ---------------------------------------------------------------- statistics
 
 

@@ -17,3 +17,18 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["join_left", "join_right", "join_semi", "join_anti", "join_where_2", "cumprod"])
+def test_whole_tables(name):
+    """Each operator has a query whose tables no filter cuts."""
+    sql = ORACLE[f"{name}_whole"]
+    assert "%" not in sql and ("WHERE" not in sql or name in ("join_semi", "join_anti"))
+
+
+def test_joins_have_rows_without_a_match(spark):
+    got = {name: QUERIES[f"join_{name}_whole"](spark, "/root/testdata/sf0.001") for name in ("left", "right", "semi", "anti")}
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    alone = got["anti"].count()
+    assert alone > 0 and got["semi"].count() == customers - alone > 0
+    assert got["left"].where("o_orderkey IS NULL").count() == got["right"].where("o_orderkey IS NULL").count() == alone
