@@ -173,6 +173,11 @@ def _(o):
     return R.sort(o.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("s")), "s", "o_orderkey", descending=[True, False]).limit(500)
 
 
+@query("sort_nulls_last_whole", "orders", "SELECT o_orderkey, s, row_number() OVER (ORDER BY s DESC NULLS LAST, o_orderkey) - 1 AS row_index FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders)")
+def _(o):
+    return R.with_row_index(o.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("s")), ["s", "o_orderkey"], descending=[True, False])
+
+
 @query("topk_rows", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def _(o):
     return R.sort(o, "o_totalprice", "o_orderkey", descending=[True]).limit(25).select("o_orderkey", "o_totalprice")
@@ -626,6 +631,12 @@ def _(d):
     return d.select("doc_id", S.match(t, "[0-9]{3}").alias("m"), S.count_matches(t, "[A-Z][a-z]+").alias("n"), S.extract(t, "[a-z]+ing").alias("x"), S.replace_regex(S.left(t, 50), "[aeiou]", "*").alias("r"))
 
 
+@query("str_whole_texts", "documents", "SELECT doc_id, reverse(text) AS rev, regexp_replace(text, '[aeiou]', '*', 'g') AS r FROM documents")
+def _(d):
+    t = F.col("text")
+    return d.select("doc_id", S.reverse(t).alias("rev"), S.replace_regex(t, "[aeiou]", "*").alias("r"))
+
+
 @query("str_pad_slice", "customer", "SELECT c_custkey, lpad(c_custkey::VARCHAR, 8, '0') AS z, rpad(c_mktsegment, 12, '.') AS r, substr(c_name, 3, 4) AS s, right(c_name, 3) AS t, replace(c_name, '0', 'o') AS p FROM customer")
 def _(c):
     n = F.col("c_name")

@@ -2,6 +2,7 @@
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.plans.catalogue import ORACLE, QUERIES
 
@@ -32,3 +33,13 @@ def test_joins_have_rows_without_a_match(spark):
     alone = got["anti"].count()
     assert alone > 0 and got["semi"].count() == customers - alone > 0
     assert got["left"].where("o_orderkey IS NULL").count() == got["right"].where("o_orderkey IS NULL").count() == alone
+
+
+def test_whole_texts_and_sorted_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id AS d", "length(text) AS n")
+    assert QUERIES["str_whole_texts"](spark, sf).join(texts, F.col("doc_id") == F.col("d")).where("length(rev) <> n OR length(r) <> n").count() == 0
+    ranked = QUERIES["sort_nulls_last_whole"](spark, sf)
+    nulls = ranked.where("s IS NULL")
+    assert ranked.count() == spark.read.parquet(f"{sf}/orders.parquet").count() and nulls.count() > 0
+    assert nulls.agg(F.min("row_index")).first()[0] == ranked.where("s IS NOT NULL").count()
