@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.storage import materialise, small_side
+from sparkloom.storage import discard, fits, materialise, small_side
 
-__all__ = ["NOT_WS", "WS", "count_words", "materialise", "partitions", "single_spaced", "small_side"]
+__all__ = ["NOT_WS", "WS", "count_words", "discard", "fits", "materialise", "partitions", "single_spaced", "small_side"]
 
 #: White space of every word rule here: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]"

@@ -290,3 +290,31 @@ def test_wrapper_groups_and_options():
 
 def test_sharding_clashes(docs):
     assert sharding.shard(docs).count() == len(ROWS)
+
+
+def test_line_dedup_by_join_and_by_workers(spark, docs, monkeypatch):
+    rows = [(i if i % 5 else None, f"own {i}\r\n  shared footer \n\n{'long ' * 3000}\nlocal {i % 3}", f"site{i % 9}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(docs.select("doc_id", "text", "source")).withColumn("pos", F.lit(1))
+    near = [tuple(r) for r in line_dedup.drop_lines(df).collect()]
+    monkeypatch.setattr(line_dedup, "BAD_LINES", 0)
+    same([tuple(r) for r in line_dedup.drop_lines(df).collect()], near)
+    sites = defaultdict(set)
+    plain = [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+    for _, t, s in plain:
+        for x in (t or "").split("\n"):
+            sites[x.strip(" \t\n\x0b\x0c\r")].add(s)
+    gone = {x for x, on in sites.items() if x and len(on) >= line_dedup.SITES}
+    want = []
+    for i, t, _ in plain:
+        lines = [(x, x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")]
+        want.append((i, "\n".join(x for x, y in lines if y not in gone), sum(y != "" for _, y in lines), sum(y in gone for _, y in lines)))
+    assert any("shared" in x for x in gone)
+    same(near, want)
+
+
+def test_line_dedup_tells_lines_of_one_hash_apart(spark, monkeypatch):
+    # All lines of a length share a key here.
+    monkeypatch.setattr(line_dedup, "_key", lambda line: F.when(line.rlike(r"\S"), F.char_length(F.trim(line)).cast("long")))
+    rows = [(i, f"everywhere\nonly here{i % 2}", f"site{i}") for i in range(12)]
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), sites=8).collect()
+    assert all(r.text == f"only here{r.doc_id % 2}" and r.n_removed == 1 for r in got)
