@@ -16,14 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import materialise, small_side
 from sparkloom.llm.shingles import _splitmix, stream
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
-#: Labelled rows that are fitted at most, and languages that are learned at most (the most frequent).
-TRAIN_ROWS, MOST_LANGUAGES = 6000, 500
+#: Labelled rows that are fitted at most, and the bytes of their texts at most.
+TRAIN_ROWS, TRAIN_BYTES = 6000, 48 << 20
 EPOCHS, RATE = 6, 0.5
 #: Share of errors among accepted predictions that calibration aims at.
 ERRORS = 0.01
@@ -123,18 +124,36 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> Model | None
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
-    """The model of the documents that may be learned from: a language, and an identifier whose
-    checksum isn't divisible by 5. Of each language an equal number is drawn by the identifier's
-    hash; at most `rows` in all go to the driver."""
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame:
+    """text, lang of the documents that are fitted: `rows` at most, with `size` bytes of text at most.
+
+    Documents that may be learned from have a language, a text and an identifier whose checksum isn't
+    divisible by 5. Of each language an equal number is drawn, those whose identifier and text have the least
+    hashes; a language with fewer gives all it has. Languages take turns, so that the bounds cut the last
+    turns and not a language while there are fewer languages than rows. Rows that repeat are one. Which rows
+    are drawn depends on nothing but the rows."""
+    code = F.xxhash64(F.lit("language"), F.col(id_col), F.col(text_col))
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return None
-    each = max(1, rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (str(r[0]), min(1.0, each / r[1]))])
-    drawn = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 20)) < share[F.col(lang_col).cast("string")] * (1 << 20)
-    got = known.where(drawn).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).limit(2 * rows).toArrow()
+    known = known.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), code.alias("code"))
+    counts = materialise(known.groupBy("lang").agg(F.approx_count_distinct("code", 0.05).alias("n")), "language-counts")
+    languages = counts.count()
+    # Hashes are even, so this share of them has `each` rows of a language and enough to spare for the error of the
+    # estimate; small languages go whole.
+    each = max(1, rows // max(1, languages))
+    share = F.least(F.lit(1.0), F.lit(1.4 * each + 6 * each**0.5 + 20) / F.col("n"))
+    marked = known.join(small_side(counts, 200_000), "lang").where(F.pmod("code", F.lit(1 << 40)) < share * (1 << 40))
+    near = materialise(marked.select("lang", "code", F.octet_length("text").cast("long").alias("size"), "text").dropDuplicates(["lang", "code"]), "language-near")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("code", F.lit(1 << 40)), "code"))
+    first = near.select("lang", "code", "size", turn.alias("turn")).where(F.col("turn") <= each)
+    first = first.orderBy("turn", "lang").limit(rows)
+    taken = F.sum("size").over(Window.orderBy("turn", "lang").rowsBetween(Window.unboundedPreceding, 0))  # `rows` rows at most
+    chosen = materialise(first.withColumn("taken", taken).where(F.col("taken") <= size).select("lang", "code"), "language-drawn")
+    return near.join(small_side(chosen, rows), ["lang", "code"]).select("text", "lang")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model | None:
+    """The model of the documents that `draw` takes; None if there are none with a letter. Only these go to the driver."""
+    got = draw(docs, id_col, text_col, lang_col, rows, size).toArrow()
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     return train([t for t, _ in pairs], [x for _, x in pairs])
 
@@ -143,8 +162,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """One row for each row of docs: id, held_out, lang_pred, score, accepted.
 
     Only the text decides. A text that is null or has no letter, and every text if nothing
-    was learned, is `und` with score 0. accepted: the score reaches the calibrated least. A row
-    without an identifier isn't held out, nor learned from."""
+    was learned, is `und` with score 0. accepted: the score reaches the calibrated least. Of languages
+    with equal scores the first by name is taken. A row without an identifier isn't held out, nor learned
+    from. Rows that repeat get the same answer each; other columns are ignored, whatever their names; an
+    empty table gives an empty result."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(pickle.dumps((model.languages, model.compiled(), model.weights, model.bias, model.temperature, model.least) if model else None))
 

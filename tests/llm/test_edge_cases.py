@@ -318,3 +318,68 @@ def test_line_dedup_tells_lines_of_one_hash_apart(spark, monkeypatch):
     rows = [(i, f"everywhere\nonly here{i % 2}", f"site{i}") for i in range(12)]
     got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), sites=8).collect()
     assert all(r.text == f"only here{r.doc_id % 2}" and r.n_removed == 1 for r in got)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text number {i} " * (1 + i % 7), f"l{i % 3}" if i % 50 else "rare") for i in range(2000)] + [(5000, "alone here", "single"), (5001, None, "l0"), (5002, "no language", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df = df.unionByName(df)
+    held = {i for i, _, _ in rows if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
+    texts = {t: x for i, t, x in rows if i not in held and t and x}
+    for cap, size in ((100, 1 << 20), (100, 900), (7, 1 << 20)):
+        got = [tuple(r) for r in language_id.draw(df, rows=cap, size=size).collect()]
+        assert 0 < len(got) <= cap and sum(len(t) for t, _ in got) <= size and all(texts[t] == x for t, x in got)
+        same(got, [tuple(r) for r in language_id.draw(df.repartition(9), rows=cap, size=size).collect()])
+    full = Counter(x for _, x in (tuple(r) for r in language_id.draw(df, rows=100).collect()))
+    per = 100 // len(set(texts.values()))
+    have = Counter(x for i, t, x in rows if i not in held and t and x)
+    assert full == {x: min(per, n) for x, n in have.items()}
+    # More languages than a fixed list would hold; each is learned while rows last.
+    many = [(i, f"word{i} words", f"x{i % 700:03}") for i in range(3000)]
+    learned = {x for i, _, x in many if __import__("zlib").crc32(str(i).encode()) % 5}
+    drawn = language_id.draw(spark.createDataFrame(many, "doc_id long, text string, lang string"), rows=1400)
+    assert len(learned) > 690 and {r.lang for r in drawn.collect()} == learned
+
+
+def test_language_scores_against_plain_loops(spark):
+    """Subwords, average, layer and temperature written out one by one."""
+    import math
+
+    from sparkloom.llm.shingles import stream
+
+    mask = (1 << 64) - 1
+    mix = [int(x) | 1 for x in stream(4, 77)]
+
+    def scramble(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def plain(text):
+        out = []
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            w = [0, *map(ord, word), 0]
+            for n in (2, 3, 4):
+                for i in range(len(w) - n + 1):
+                    out.append(scramble((n + sum(c * mix[k] for k, c in enumerate(w[i : i + n]))) & mask) >> 48)
+        return out
+
+    rows = [(i, f"the {i} of and that" if i % 2 else f"der die {i} das und", "en" if i % 2 else "de") for i in range(200)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["the thing", "Das Haus!", "a", "x9y Über—den", " und\tund ", "ο λόγος 日本", "the " * 500]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        grams = plain(text)
+        assert sorted(grams) == sorted(language_id.subwords(text).tolist())
+        mean = [sum(float(model.table[g][d]) for g in grams) / len(grams) for d in range(model.table.shape[1])]
+        z = [(sum(m * float(w) for m, w in zip(mean, model.weights[:, k], strict=True)) + float(model.bias[k])) / model.temperature for k in range(len(model.languages))]
+        p = [math.exp(x) / sum(map(math.exp, z)) for x in z]
+        assert model.languages[p.index(max(p))] == got[i].lang_pred and abs(max(p) - got[i].score) < 1e-4, text
+
+
+def test_language_ties_take_the_first(spark):
+    import numpy as np
+
+    even = language_id.Model(["aa", "bb"], np.zeros((language_id.BUCKETS, language_id.DIM), np.float32), np.zeros((language_id.DIM, 2), np.float32), np.zeros(2, np.float32))
+    r = language_id.identify(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), even).first()
+    assert (r.lang_pred, r.score) == ("aa", 0.5)
