@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import count_words, materialise, partitions, small_side
 
@@ -79,15 +80,22 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Size is the number of words; a null text has none. Null is a source of its own, the
     last. Rows without an identifier come last among those of their size. A source whose
     documents are all empty has target 0 and no copies. Rows that repeat an identifier are
-    documents of their own. An empty table gives an empty result. Reruns agree: the offset
-    comes from the seed and the source's name.
+    documents of their own. Other columns are ignored, whatever their names. An empty table gives an
+    empty result. Reruns agree: the offset comes from the seed and the source's name.
     """
+    return _plan(docs, id_col, text_col, source_col, seed, []).drop("h1", "h2")
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, marks: list[Column]) -> DataFrame:
+    """plan_mix, with marks (columns h1, h2), which also order rows of one size and identifier."""
     spark = docs.sparkSession
-    narrow = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size")), "mix-sizes")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"), *marks)
+    narrow = materialise(narrow, "mix-sizes")
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("id").asc_nulls_last(), *[F.col(c) for c in ("h1", "h2") if marks]]
     goal = materialise(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     ranged = (
-        narrow.repartitionByRange(partitions(spark), F.col("source").asc_nulls_last(), "size", F.col("id").asc_nulls_last())
-        .sortWithinPartitions(F.col("source").asc_nulls_last(), "size", F.col("id").asc_nulls_last())
+        narrow.repartitionByRange(partitions(spark), *order)
+        .sortWithinPartitions(*order)
         .select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("place"))
     )
     ranged = materialise(ranged, "mix-order")
@@ -101,23 +109,35 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     k = F.col("before") + F.col("place") - F.col("first") + 1
     copies = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.when(F.col("source_size") != 0, F.col("source_size")))
     times = (F.floor(copies * k + F.col("u")) - F.floor(copies * (k - 1) + F.col("u"))).cast("long")
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", times.alias("copies"), (F.col("size") * times).alias("taken"))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", times.alias("copies"), (F.col("size") * times).alias("taken"), *["h1", "h2"][: len(marks)])
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of docs, each as often as plan_mix says.
 
-    Rows that share an identifier share its copies out evenly, in the order of their
-    contents' hash."""
-    plan = plan_mix(docs, id_col, text_col, source_col, seed).groupBy(F.col(id_col).alias("plan_id"))
+    A row is found again by its identifier and two hashes of its columns (maps and variants aside), so rows without an
+    identifier, or that share one, are rows of their own and never meet in one task. Rows that repeat in
+    all of them share their copies; an empty table gives an empty result."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType)]
+    marks = [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit("second"), *columns[::-1]).alias("h2")]
+    plan = _plan(docs, id_col, text_col, source_col, seed, marks).groupBy(F.col(id_col).alias("plan_id"), "h1", "h2")
     plan = materialise(plan.agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("among")), "mix-plan")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), *marks)
+    keys = ["h1", "h2"]
     # The plan has a row for each document; it is never broadcast, so that all sizes run alike.
-    joined = rows.join(plan.hint("merge"), rows["row_id"].eqNullSafe(plan["plan_id"]))
-    out = joined.where("among = 1").select("row", F.col("total").alias("times"))
-    if not plan.where("among > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row")))
-        upto = lambda k: F.floor(F.col("total") * k / F.col("among"))
-        many = joined.where("among > 1").withColumn("nth", nth).select("row", (upto(F.col("nth")) - upto(F.col("nth") - 1)).alias("times"))
-        out = out.unionByName(many)
-    return out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
+    own = rows.join(plan.hint("merge"), keys).where(F.col("row_id").eqNullSafe(F.col("plan_id"))).select("row", F.floor(F.col("total") / F.col("among")).alias("times"))
+    # Of rows that repeat, what doesn't divide evenly is emitted by one of them.
+    left_over = materialise(plan.where("among > 1 AND total % among > 0"), "mix-left-over")
+    if not left_over.isEmpty():
+        some = rows.join(small_side(left_over.select(*keys), 200_000), keys, "left_semi").groupBy(*keys, "row_id").agg(F.first("row").alias("row"))
+        more = some.join(left_over, keys).where(F.col("row_id").eqNullSafe(F.col("plan_id"))).select("row", (F.col("total") % F.col("among")).alias("times"))
+        own = own.unionByName(more)
+    return own.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select("row.*")

@@ -383,3 +383,18 @@ def test_language_ties_take_the_first(spark):
     even = language_id.Model(["aa", "bb"], np.zeros((language_id.BUCKETS, language_id.DIM), np.float32), np.zeros((language_id.DIM, 2), np.float32), np.zeros(2, np.float32))
     r = language_id.identify(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), even).first()
     assert (r.lang_pred, r.score) == ("aa", 0.5)
+
+
+def test_mix_of_rows_without_identifiers(spark):
+    rows = [(None, f"text {i} " * (1 + i % 9), "a" if i % 4 else "b") for i in range(300)] + [(None, "same row", "a")] * 50 + [(7, f"shares seven {i % 5}", "b") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("tags", F.create_map(F.lit("k"), F.lit(1)))
+    plan = mixing.plan_mix(df).collect()
+    mixed = [tuple(r)[:3] for r in mixing.mix(df).collect()]
+    assert len(mixed) == sum(r.copies for r in plan) and set(mixed) <= set(rows)
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    taken = Counter()
+    for _, t, s in mixed:
+        taken[s] += len(t.split())
+    assert all(abs(taken[s] - r.target) <= 40 for s in "ab" for r in plan if r.source_size == size[s])
+    assert all(n <= 3 * rows.count(r) for r, n in Counter(mixed).items())
+    same(mixed, [tuple(r)[:3] for r in mixing.mix(df.repartition(3)).collect()])
