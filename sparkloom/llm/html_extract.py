@@ -5,17 +5,21 @@ a repeated group of items; each item may be optional. There is no union.
 
 1. Within a page, equal neighbouring stretches of items are folded into repeated groups, from
    the inside out.
-2. The pages of a host are aligned one after another with the host's wrapper. Equal items
-   match, also a group with its single occurrence. A text slot whose texts differ becomes
-   variable. What only one side has becomes optional, or is taken into an equal group.
-3. This is done in every task for the hosts of its pages; the wrappers of a host are then
-   aligned with one another in two steps, so that a host of any size meets in small pieces.
+2. Pages of a host with the same items are one wrapper: a text slot whose texts differ becomes
+   variable. This doesn't depend on any order, so it is done in every task, and then across tasks.
+3. The different wrappers of a host are aligned with one another, in the order of their items' digests and
+   in a tree whose pieces are ranges of the digest. Equal items match, also a group with its single
+   occurrence; what only one side has becomes optional, or is taken into an equal group. A host of any size
+   meets in small pieces, and a wrapper depends on the host's pages alone.
 4. In the wrapper, the element that holds most of the variable text outside of furniture
    (menus, headers, footers, sidebars, notices, adverts, forms, comments) is the host's main
    element; `article` and `main` elements come first.
 5. Pages are read again with the main element of their host, and matched with its wrapper. A
    block goes if each of its texts is one that its slot has on every page with that slot, two
-   different pages at least. `article` and `main` elements stay whole: all in them is the page's.
+   different pages at least. `article` and `main` elements stay whole but for furniture: the rest is the page's.
+
+Class words only count where a whole word of the class, id or role says so: each of its parts (at - and _)
+must be one of the marks. So `cookie-notice` is furniture, and `story-header` and `share-price` are not.
 """
 
 from __future__ import annotations
@@ -50,8 +54,8 @@ MARKS = {
     "footer", "gdpr", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies",
     "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
-#: Folding looks for repeats of at most so many items.
-REPEAT = 12
+#: Different wrappers of a host that are aligned in one piece, about.
+PIECE = 32
 #: Bits of a table of the alignment that are held at once; a larger one is halved first.
 TABLE = 1 << 28
 
@@ -59,7 +63,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | {"title"}}
 _SPACE = re.compile(r"[\s\x1c-\x1f]+")
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_]+")
 
 
 def _marks(attributes: str) -> str:
@@ -72,9 +76,10 @@ def _marks(attributes: str) -> str:
             return "hidden"
         if name == "role" and value in ("main", "article"):
             return "main"
-        found = [w for w in _WORD.findall(value) if w in MARKS]
-        if found:
-            return found[0]
+        for word in value.split():
+            parts = [w for w in _PART.split(word) if w]
+            if parts and all(w in MARKS for w in parts):
+                return parts[0]
     return ""
 
 
@@ -146,31 +151,77 @@ def _item_keys(items: list) -> tuple:
     return tuple(i[0] for i in items)
 
 
+class _Folding:
+    """Items so far, folded; repeats of any length are found by the three keys that they end with."""
+
+    def __init__(self):
+        self.items: list = []
+        self.keys: list = []
+        self.ends: dict = {}  # last three keys, of the items up to a place or within the group there: places
+
+    def _end(self, at: int) -> tuple | None:
+        key = self.keys[at]
+        return key[1][-3:] if isinstance(key, tuple) else None
+
+    def push(self, item: list) -> None:
+        self.items.append(item)
+        self.keys.append(item[0])
+        at = len(self.keys) - 1
+        if at >= 2:
+            self.ends.setdefault(tuple(self.keys[-3:]), []).append(at)
+        if isinstance(item[0], tuple) and len(item[0][1]) >= 3:
+            self.ends.setdefault(self._end(at), []).append(at)
+
+    def pop(self, n: int) -> list:
+        gone = self.items[-n:]
+        for _ in range(n):
+            at = len(self.keys) - 1
+            if isinstance(self.keys[at], tuple) and len(self.keys[at][1]) >= 3:
+                self.ends[self._end(at)].pop()
+            if at >= 2:
+                self.ends[tuple(self.keys[-3:])].pop()
+            del self.items[-1], self.keys[-1]
+        return gone
+
+    def lengths(self) -> Iterator[int]:
+        """Lengths, rising, of the stretches at the end that may repeat what stands before them."""
+        n = len(self.keys)
+        yield from range(1, min(3, n))
+        if n > 3:
+            last = None
+            for at in reversed(self.ends.get(tuple(self.keys[-3:]), ())):
+                if n - 1 - at >= 3 and at != last:
+                    yield n - 1 - at
+                last = at
+
+    def fold(self) -> bool:
+        """One step; whether there was one."""
+        keys, n = self.keys, len(self.keys)
+        last = keys[-1]
+        for k in self.lengths():
+            before = keys[-k - 1]
+            if isinstance(before, tuple) and len(before[1]) == k and before[1][-1] == last and before[1] == tuple(keys[-k:]):
+                taken = self.pop(k)
+                _absorb(self.items[-1], taken)
+                return True
+            if before == last and 2 * k <= n and keys[-2 * k] == keys[-k] and keys[-2 * k : -k] == keys[-k:] and not (k == 1 and isinstance(last, tuple)):
+                taken = self.pop(k)
+                first = self.pop(k)
+                group = [("+", tuple(i[0] for i in first)), False, [_weights(i) for i in first]]
+                _absorb(group, taken)
+                self.push(group)
+                return True
+        return False
+
+
 def _fold(items: list) -> list:
     """Repeats of neighbouring stretches become groups."""
-    out: list = []
-    keys: list = []
+    out = _Folding()
     for item in items:
-        out.append(item)
-        keys.append(item[0])
-        changed = True
-        while changed:
-            changed, n, last = False, len(keys), keys[-1]
-            for k in range(1, min(REPEAT, n - 1) + 1):
-                before = keys[-k - 1]
-                if isinstance(before, tuple) and before[1][-1] == last and before[1] == tuple(keys[-k:]):
-                    _absorb(out[-k - 1], out[-k:])
-                    del out[-k:], keys[-k:]
-                    changed = True
-                    break
-                if before == last and 2 * k <= n and keys[-2 * k : -k] == keys[-k:] and not (k == 1 and isinstance(last, tuple)):
-                    group = [("+", tuple(keys[-k:])), False, [_weights(i) for i in out[-2 * k : -k]]]
-                    _absorb(group, out[-k:])
-                    out[-2 * k :] = [group]
-                    keys[-2 * k :] = [group[0]]
-                    changed = True
-                    break
-    return out
+        out.push(item)
+        while out.fold():
+            pass
+    return out.items
 
 
 def _weights(item: list):
@@ -410,14 +461,14 @@ def main_element(wrapper: list) -> str:
             continue
         for s in set(steps):
             inside[s] = inside.get(s, 0) + n
-    for s in sorted(inside, key=lambda s: -inside[s]):
+    for s in sorted(inside, key=lambda s: (-inside[s], s)):
         if s.split(".")[0] in MAIN or s.endswith(".main"):
             return s
     best = max(inside.values(), default=0)
     # Containers: elements that hold other blocks; the one deepest down that still holds nearly all.
     depth = {s: max(p.split("/").index(s) for p in mass if s in p.split("/")) for s in inside if s.split(".")[0] in ("body", "div", "section", "td", "center")}
     whole = [s for s in depth if inside[s] >= 0.9 * best]
-    return max(whole, key=lambda s: (depth[s], inside[s]), default="")
+    return max(whole, key=lambda s: (depth[s], inside[s], s), default="")
 
 
 # ---------------------------------------------------------------- extraction
@@ -503,42 +554,73 @@ def _bare(page: str) -> bool:
     return True
 
 
-_PARTS = "host string, wrapper string, bare boolean"
+_PARTS = "host string, digest string, wrapper string, bare boolean"
+
+
+def _merged(a: list | None, b: list) -> list:
+    """One wrapper of two with the same keys; the order of the two doesn't matter."""
+    return b if a is None else [[x[0], x[1] or y[1], _merge_weight(x[2], y[2])] for x, y in zip(a, b, strict=True)]
 
 
 def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, list] = {}
+    found: dict[tuple, list] = {}  # host and keys: wrapper, and whether a page has no element of its own
+    held = 0
 
     def out() -> pa.RecordBatch:
-        texts = [dump(w) for w, _ in found.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(texts, pa.string()), pa.array([b for _, b in found.values()], pa.bool_())], names=["host", "wrapper", "bare"])
+        digests = [hashlib.blake2b(repr(keys).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() for _, keys in found]
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array(digests, pa.string()), pa.array([dump(w) for w, _ in found.values()], pa.string()), pa.array([b for _, b in found.values()], pa.bool_())], names=["host", "digest", "wrapper", "bare"])
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if page.is_valid:
-                text, (wrapper, bare) = page.as_py(), found.get(host, (None, False))
-                found[host] = align(wrapper, describe(text)), bare or _bare(text)
-        if len(found) > 2000 or sum(len(w) for w, _ in found.values()) > 500_000:
+                text = page.as_py()
+                items = describe(text)
+                place = (host, _item_keys(items))
+                if place not in found:
+                    held += len(items) + 10
+                wrapper, bare = found.get(place, (None, False))
+                found[place] = _merged(wrapper, items), bare or _bare(text)
+        if held > 500_000:
             yield out()
-            found = {}
+            found, held = {}, 0
     yield out()
 
 
+def _merge_equal(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Wrappers of one host with the same keys."""
+    wrapper = None
+    if len(pdf) == 1:
+        return pdf[["host", "digest", "wrapper", "bare"]]
+    for text in pdf["wrapper"]:
+        wrapper = _merged(wrapper, load(text))
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "digest": [pdf["digest"].iloc[0]], "wrapper": [dump(wrapper)], "bare": [bool(pdf["bare"].any())]})
+
+
 def _join_wrappers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Wrappers of one host, aligned in the order of their digests; the digest of the first names the piece."""
+    if len(pdf) == 1:
+        return pdf[["host", "digest", "wrapper", "bare"]]
+    pdf = pdf.sort_values("digest")
     wrapper = None
-    for text in sorted(pdf["wrapper"]):
+    for text in pdf["wrapper"]:
         wrapper = align(wrapper, load(text))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [dump(wrapper)], "bare": [bool(pdf["bare"].any())]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "digest": [pdf["digest"].iloc[0]], "wrapper": [dump(wrapper)], "bare": [bool(pdf["bare"].any())]})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, wrapper (JSON), main, known (JSON, compressed): one row for each host of pages. known is the
-    template; null where all pages give an element of their own, whose text all stays."""
+    template; null where all pages give an element of their own, whose text all stays. Rows depend on the
+    pages alone, however they are dealt and ordered."""
     narrow = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    parts = narrow.mapInArrow(_describe_batches, _PARTS).withColumn("piece", F.pmod(F.spark_partition_id(), F.lit(64)))
-    parts = materialise(parts, "html-parts")
-    pieces = parts.groupBy("host", "piece").applyInPandas(_join_wrappers, _PARTS)
-    whole = pieces.groupBy("host").applyInPandas(_join_wrappers, _PARTS)
+    parts = materialise(narrow.mapInArrow(_describe_batches, _PARTS).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))), "html-parts")
+    equal = parts.groupBy("host", "digest", "salt").applyInPandas(_merge_equal, _PARTS).groupBy("host", "digest").applyInPandas(_merge_equal, _PARTS)
+    equal = materialise(equal, "html-equal")
+    most = equal.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    digits = 0  # hexadecimal digits of the digest that make a piece
+    while PIECE * 16**digits < most:
+        digits += 1
+    for length in range(digits, -1, -1):
+        equal = equal.groupBy("host", F.substring("digest", 1, length)).applyInPandas(_join_wrappers, _PARTS)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -548,7 +630,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             known = [zlib.compress(dump(template(w)).encode()) if b or not o else None for w, b, o in zip(made, pdf["bare"], own, strict=True)]
             yield pd.DataFrame({"host": pdf["host"], "wrapper": pdf["wrapper"], "main": main, "known": known})
 
-    return whole.mapInPandas(choose, "host string, wrapper string, main string, known binary")
+    return equal.mapInPandas(choose, "host string, wrapper string, main string, known binary")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -557,7 +639,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null, empty or text-free page has the empty text. A null url, or one without a host, is of
     the host ''. Pages without the host's main element give their article, else main, else body.
     White space in a block becomes one space; blocks are joined by an empty line. Rows that
-    repeat are extracted each, and count as one page for what stays the same."""
+    repeat are extracted each, and count as one page for what stays the same. Of elements that hold equally
+    much the deepest is the main one, then the last by name. Pages of any length are read and aligned whole.
+    Other columns are ignored, whatever their names; an empty table gives an empty result."""
     known = materialise(wrappers(pages, url_col, html_col).select("host", "main", "known"), "html-main")
     # The main elements can be sent to all executors; templates are larger and only for the hosts that need one.
     main = small_side(known.select(F.col("host").alias("known_host"), "main"), 200_000)

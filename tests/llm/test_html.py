@@ -1,6 +1,7 @@
 """Pages matched with the wrapper of their host."""
 
 import random
+import re
 
 from sparkloom.llm import html_extract
 
@@ -77,3 +78,68 @@ def test_long_texts_are_compared(spark):
         wrapper = html_extract.align(wrapper, html_extract.describe(page % i))
     assert html_extract.main_element(wrapper) == "div"
     assert texts(spark, [("a.example", page % i) for i in range(4)]) == [f"Short text {i}." for i in range(4)]
+
+
+def test_wrappers_decide_where_no_name_tells(spark):
+    deal = random.Random(5)
+    rows, want = [], []
+    for i in range(60):
+        body = [f"Paragraph {i} {j} " + "word " * deal.randint(1, 30) + "." for j in range(deal.randint(1, 6))]
+        menu = "".join(f"<li><a>{x}</a></li>" for x in ("Home", "World", "Sport", "Weather"))
+        promo = "<div><b>Read our app</b></div>" if i % 3 else ""
+        rows.append(("w.example", f"<body><div><ul>{menu}</ul></div>{promo}<div><h1>Title {i}</h1>{''.join(f'<p>{x}</p>' for x in body)}</div><div><p>All rights kept</p></div></body>"))
+        want.append("\n\n".join([f"Title {i}", *(x.strip() for x in body)]))
+    assert texts(spark, rows) == want
+    # Without the wrapper menus, adverts and notices stay.
+    assert all(html_extract.extract(page, "") != w for (_, page), w in zip(rows, want, strict=True))
+
+
+def test_wrappers_depend_on_the_pages_alone(spark):
+    deal = random.Random(8)
+    pages = []
+    for i in range(700):
+        parts = "".join(f"<{t}>{t}{i}</{t}>" for t in deal.choices(["p", "h2", "h3", "pre", "dl", "address"], k=deal.randint(1, 6)))
+        pages.append((i, f"http://{'hot' if i % 4 else 'cold'}.example/{i}", f"<body><div><p>menu</p></div><div>{parts}</div></body>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    of = lambda d: sorted((r.host, html_extract.load(r.wrapper), r.main) for r in html_extract.wrappers(d).collect())
+    first = of(df.coalesce(1))
+    assert first == of(df.orderBy("html").repartition(7)) and [r[0] for r in first] == ["cold.example", "hot.example"]
+    got = html_extract.extract_pages(df).collect()
+    assert all("menu" not in r.text and str(r.page_id) in r.text for r in got) and len(got) == 700
+
+
+def test_story_words_are_not_furniture(spark):
+    page = "<body><div class='ad'>buy</div><article><div class='story-header'><h2>Chapter %s</h2></div><p class='share-price'>Shares fell %s.</p><div class='comment-list comments'><p>Nice</p></div><p class='adapted'>Adapted.</p></article><div class='cookie-notice'>We use cookies</div></body>"
+    rows = [("s.example", page % (i, i)) for i in range(4)] + [("t.example", (page % (i, i)).replace("article", "div")) for i in range(4)]
+    want = [f"Chapter {i}\n\nShares fell {i}.\n\nAdapted." for i in range(4)]
+    got = texts(spark, rows)
+    # Without an article, what is the same on all pages of the host goes with its wrapper.
+    assert got[:4] == want and got[4:] == [w.removesuffix("\n\nAdapted.") for w in want]
+
+
+def test_repeats_of_any_length_are_folded():
+    long = [f"<x{i}." for i in range(40)]
+    items = [[k, False, None] for k in long * 5 + ["<y."] + long * 2]
+    keys = html_extract._item_keys(html_extract._fold(items))
+    assert keys == (("+", tuple(long)), "<y.", ("+", tuple(long)))
+    deal = random.Random(3)
+    for _ in range(300):
+        seq = deal.choices("abc", k=deal.randint(0, 24))
+        got = html_extract._item_keys(html_extract._fold([[k, False, None] for k in seq]))
+        # A group stands for its stretch once or more, and no stretch beside itself is left.
+        pattern = "".join(f"({spelled_group(k)})+" if isinstance(k, tuple) else k for k in got)
+        assert re.fullmatch(pattern, "".join(seq))
+        assert all(got[i : i + k] != got[i + k : i + 2 * k] for k in range(1, 13) for i in range(len(got) - 2 * k + 1))
+
+
+def spelled_group(k):
+    return "".join(f"({spelled_group(x)})+" if isinstance(x, tuple) else x for x in k[1])
+
+
+def test_equally_full_elements(spark):
+    page = "<body><section><p>left %s</p></section><div><p>rite %s</p></div></body>"
+    made = None
+    for i in range(3):
+        made = html_extract.align(made, html_extract.describe(page % (i, i)))
+    assert html_extract.main_element(made) == html_extract.main_element(html_extract.load(html_extract.dump(made))) == "body"
+    assert texts(spark, [("e.example", page % (i, i)) for i in range(3)]) == [f"left {i}\n\nrite {i}" for i in range(3)]
