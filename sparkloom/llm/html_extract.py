@@ -29,7 +29,7 @@ import html as html_lib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -567,8 +567,8 @@ def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     held = 0
 
     def out() -> pa.RecordBatch:
-        digests = [hashlib.blake2b(repr(keys).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() for _, keys in found]
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array(digests, pa.string()), pa.array([dump(w) for w, _ in found.values()], pa.string()), pa.array([b for _, b in found.values()], pa.bool_())], names=["host", "digest", "wrapper", "bare"])
+        digest = lambda keys: hashlib.blake2b(repr(keys).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        return _rows_of([(host, digest(keys), dump(w), b) for (host, keys), (w, b) in found.items()])
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -586,25 +586,38 @@ def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield out()
 
 
-def _merge_equal(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Wrappers of one host with the same keys."""
-    wrapper = None
-    if len(pdf) == 1:
-        return pdf[["host", "digest", "wrapper", "bare"]]
-    for text in pdf["wrapper"]:
-        wrapper = _merged(wrapper, load(text))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "digest": [pdf["digest"].iloc[0]], "wrapper": [dump(wrapper)], "bare": [bool(pdf["bare"].any())]})
+def _runs(same: Callable[[list, list], list], length: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of _PARTS, sorted by host and digest, with each run of rows that agree in the host and the first digits
+    of the digest (all, if length is None) made one by `same`. It is named by its first digest."""
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, first, text, wrapper, bare, done = None, None, None, None, False, []
 
-def _join_wrappers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Wrappers of one host, aligned in the order of their digests; the digest of the first names the piece."""
-    if len(pdf) == 1:
-        return pdf[["host", "digest", "wrapper", "bare"]]
-    pdf = pdf.sort_values("digest")
-    wrapper = None
-    for text in pdf["wrapper"]:
-        wrapper = align(wrapper, load(text))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "digest": [pdf["digest"].iloc[0]], "wrapper": [dump(wrapper)], "bare": [bool(pdf["bare"].any())]})
+        def close() -> None:
+            if run is not None:
+                done.append((run[0], first, dump(wrapper) if text is None else text, bare))
+
+        for batch in batches:
+            for host, digest, new, b in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if (host, digest[:length]) != run:
+                    close()
+                    run, first, text, wrapper, bare = (host, digest[:length]), digest, new, None, b
+                    continue
+                if text is not None:
+                    wrapper, text = load(text), None
+                wrapper, bare = same(wrapper, load(new)), bare or b
+            if len(done) > 1000:
+                yield _rows_of(done)
+                done.clear()
+        close()
+        yield _rows_of(done)
+
+    return joined
+
+
+def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "digest", "wrapper", "bare"])
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -612,15 +625,15 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     template; null where all pages give an element of their own, whose text all stays. Rows depend on the
     pages alone, however they are dealt and ordered."""
     narrow = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    parts = materialise(narrow.mapInArrow(_describe_batches, _PARTS).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))), "html-parts")
-    equal = parts.groupBy("host", "digest", "salt").applyInPandas(_merge_equal, _PARTS).groupBy("host", "digest").applyInPandas(_merge_equal, _PARTS)
+    parts = materialise(narrow.mapInArrow(_describe_batches, _PARTS), "html-parts")
+    equal = parts.repartition("host", "digest").sortWithinPartitions("host", "digest").mapInArrow(_runs(_merged, None), _PARTS)
     equal = materialise(equal, "html-equal")
     most = equal.groupBy("host").count().agg(F.max("count")).first()[0] or 0
     digits = 0  # hexadecimal digits of the digest that make a piece
     while PIECE * 16**digits < most:
         digits += 1
     for length in range(digits, -1, -1):
-        equal = equal.groupBy("host", F.substring("digest", 1, length)).applyInPandas(_join_wrappers, _PARTS)
+        equal = equal.repartition("host", F.substring("digest", 1, length)).sortWithinPartitions("host", "digest").mapInArrow(_runs(align, length), _PARTS)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
