@@ -1,21 +1,23 @@
 """Near duplicates by one-permutation MinHash, banded buckets and star-shaped candidates.
 
 1. Features: each whole text's 5-word shingle set is hashed in numpy; what leaves the task is
-   the set's size and digest, 40 bucket keys of 5 bins and a sketch of a byte for each bin.
+   the set's size and digest, 40 bucket keys of 5 bins and, of large sets, a sketch of a byte for each bin.
+   Sets of at most EXACT shingles, which fill few bins, have exact keys instead, or as well (`prefix`).
 2. Equal sets (one digest) are one class from here on, represented by its least identifier.
 3. In each bucket, candidates are the edges from one member, the centre, to the others: a star,
    so that a bucket of any size gives as many pairs as members. The centre is the member that
    has most neighbours over all its buckets.
 4. Candidates are confirmed on the full sets, computed again from the texts. Connected
-   components of the links follow.
+   components of the links follow; later links join components found before.
 5. Buckets that still hold several components are open. In small ones all pairs of members of
    different components are confirmed. For a large one with a reference c, a pair a, b either shares a
    shingle that c has not, or has no more in common than each has with c, which bounds its
    similarity. So pairs whose bound reaches the threshold are confirmed, and for the others the
    shingles that c has not become the keys of new, finer buckets, which go through 3 to 5 again.
 
-So the stars lose no link that a bucket holds. A pair at similarity s shares a bucket with
-probability 1 - (1 - s**5)**40: 0.99998 at 0.75, the least that counts as a link.
+So the stars lose no link that a bucket holds. Two sets at similarity s of which one has at most
+48 shingles always share a bucket; larger ones do with probability 1 - (1 - s**5)**40: 0.99998 at 0.75,
+the least that counts as a link.
 """
 
 from __future__ import annotations
@@ -23,22 +25,28 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, small_side
-from sparkloom.llm.shingles import OnePermutation, Shingler, resemble
+from sparkloom.llm.common import materialise, partitions, small_side
+from sparkloom.llm.shingles import OnePermutation, Shingler, prefix, resemble
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 40, 5
+#: Sets of at most so many shingles have exact keys. Where the smaller of two alike sets has at most PERCENT % of that,
+#: the larger has exact keys as well; only sets above that have bands.
+EXACT = 64
 #: Sketches refute a pair if fewer than this share of bins agree; only sets of at least so many
 #: shingles are refuted, where the share at similarity 0.75 is 5 standard deviations above.
 SKETCH_SHARE, SKETCH_LEAST = 0.6, 400
-#: Open buckets of at most so many members have all their pairs confirmed; from the third
-#: refinement on, all open buckets have.
-SMALL, DEEPEST = 48, 3
+#: Open buckets of at most so many members have all their pairs confirmed; after the last refinement, all open
+#: buckets have.
+SMALL, DEEPEST = 48, 8
+#: Pairs of one document, at least, from which on its text goes to several tasks.
+HEAVY = 20_000
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,15 +56,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1):
             s = shingler(text.as_py())
             sizes.append(len(s))
-            if len(s):
+            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            own = [prefix(s, PERCENT)] if len(s) <= EXACT else []
+            sketch = None
+            if 100 * len(s) > PERCENT * EXACT:
                 sig = hasher.signature(s)
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                keys.append(hasher.keys(sig))
-                sketches.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
-            else:
-                digests.append(None)
-                keys.append(None)
-                sketches.append(None)
+                own.append(hasher.keys(sig))
+                if len(s) >= SKETCH_LEAST:
+                    sketch = (sig & np.uint64(255)).astype(np.uint8).tobytes()
+            keys.append(np.concatenate(own) if len(s) else None)
+            sketches.append(sketch)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
             names=["id", "n", "digest", "keys", "sketch"],
@@ -112,19 +121,37 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_texts(pairs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
+    """pairs (a written table) with text_a and text_b. A document of very many pairs, such as the centre of a
+    large star, has its text sent to several tasks, each of which takes a part of the pairs."""
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), f"{tag}-wanted")
     texts = docs.join(small_side(wanted, 1_000_000), F.col("id") == F.col("wanted"), "left_semi")
-    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.join(text("a"), "a").join(text("b"), "b")
+    rows = pairs.count()
+    most = max(HEAVY, rows // (4 * partitions(docs.sparkSession)))
+    out = pairs
+    for x, other in (("a", "b"), ("b", "a")):
+        side = texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+        heavy = None
+        if rows > most:
+            heavy = materialise(pairs.groupBy(x).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1"), f"{tag}-heavy")
+        if heavy is None or heavy.isEmpty():
+            out = out.join(side, x)
+            continue
+        heavy = F.broadcast(heavy)  # rows / most at most
+        part = F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")).cast("int"), F.lit(0))
+        dealt = out.join(heavy, x, "left").withColumn("part", part).drop("parts")
+        copied = side.join(heavy, x, "left").select(x, f"text_{x}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"))
+        out = dealt.join(copied, [x, "part"]).drop("part")
+    return out
 
 
 def _links(pairs: DataFrame, feats: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
     """Those of the pairs a, b, n (size of the smaller set) of class representatives that are links."""
-    side = lambda x: feats.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    side = lambda x: feats.where(F.col("n") >= SKETCH_LEAST).select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    kind = docs.schema["id"].dataType.simpleString()
     large = pairs.where(F.col("n") >= SKETCH_LEAST).select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    near = pairs.where(F.col("n") < SKETCH_LEAST).select("a", "b").unionByName(large.mapInArrow(_sketch_filter, "a long, b long"))
+    near = pairs.where(F.col("n") < SKETCH_LEAST).select("a", "b").unionByName(large.mapInArrow(_sketch_filter, f"a {kind}, b {kind}"))
     near = materialise(near, f"{tag}-candidates")
-    return materialise(_with_texts(near, docs, tag).mapInArrow(_confirm, "a long, b long").distinct(), f"{tag}-links")
+    return materialise(_with_texts(near, docs, tag).mapInArrow(_confirm, f"a {kind}, b {kind}").distinct(), f"{tag}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -161,16 +188,57 @@ def _cross(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     return left.join(other, "key").where(apart & condition).select(F.col("id").alias("a"), F.col("id_x").alias("b"), F.least("n", "n_x").alias("n"))
 
 
-def _test(pairs: DataFrame, links: DataFrame | None, tested: DataFrame | None, feats: DataFrame, docs: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-    """links and tested with those of the pairs that weren't tested yet."""
+def _connect(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """found (id, component, or None) with new links: they are links between components, so only what they touch
+    is looked at again."""
+    if links.isEmpty():
+        return found
+    if found is None:
+        return components(links)
+    of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    ends = materialise(ends.where("a <> b").distinct(), "contracted")
+    if ends.isEmpty():
+        return found
+    above = components(ends)
+    moved = found.join(above.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return materialise(moved.unionByName(above.join(found.select("id"), "id", "left_anti")), "connected")
+
+
+def _test(pairs: DataFrame, tested: DataFrame | None, feats: DataFrame, docs: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """The links among those of the pairs that weren't tested yet, and all pairs tested."""
     fresh = pairs.distinct()
     if tested is not None:
         fresh = fresh.join(tested, ["a", "b"], "left_anti")
     fresh = materialise(fresh, f"{tag}-fresh")
-    if tested is not None and fresh.isEmpty():
-        return links, tested
-    new = _links(fresh, feats, docs, tag)
-    return (new, fresh.select("a", "b")) if tested is None else (links.unionByName(new), tested.unionByName(fresh.select("a", "b")))
+    links = fresh.select("a", "b").limit(0) if fresh.isEmpty() else _links(fresh, feats, docs, tag)
+    return links, fresh.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
+
+
+def _shared_identifiers(real: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links a, b between the classes of a document that has several texts, as its identifier repeats; None without
+    such documents."""
+    code = F.xxhash64("digest")
+    several = real.groupBy("id").agg(F.min(code).alias("low"), F.max(code).alias("high")).where("low <> high").select("id")
+    several = materialise(several, "near-several")
+    if several.isEmpty():
+        return None
+    own = real.select("id", "digest").join(small_side(several, 200_000), "id", "left_semi").distinct().join(classes.select("digest", "rep"), "digest").select("id", "rep")
+    own = materialise(own, "near-several-classes")
+    return own.join(own.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+
+
+def _of_classes(feats: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n, component for each row of feats, of classes (digest, rows, component). Rows without an identifier or
+    without shingles take no part in the join and have no component. What is known of sets with more rows than half a
+    partition is broadcast; there can be two for each partition at most."""
+    real, alone = feats.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "n", "digest"), feats.where("digest IS NULL OR id IS NULL")
+    most = max(1000, feats.count() // (2 * partitions(feats.sparkSession)))
+    hot = classes.where(F.col("rows") > most).select("digest", F.col("component").alias("hot"))
+    marked = real.join(F.broadcast(hot), "digest", "left")
+    rest = marked.where("hot IS NULL").select("id", "n", "digest").join(classes.where(F.col("rows") <= most).select("digest", "component"), "digest")
+    out = [alone.select("id", "n", F.lit(None).cast(feats.schema["id"].dataType).alias("component")), marked.where("hot IS NOT NULL").select("id", "n", F.col("hot").alias("component")), rest.select("id", "n", "component")]
+    return reduce(DataFrame.unionByName, out)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,18 +246,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words (null or empty ones too) have no shingles and no links. Rows that
     repeat an identifier are one document with the links of all its texts. Rows without an
-    identifier have no links, a null component_id, and stay. Other columns are ignored; an
-    empty table gives an empty result."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feats = materialise(docs.mapInArrow(_features, "id long, n long, digest binary, keys array<long>, sketch binary"), "near-features")
-    real = feats.where("n > 0 AND id IS NOT NULL")
-    classes = real.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = materialise(feats.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "near-members")
-    reps = members.where("id = rep").select("id").distinct()
-    known = materialise(real.select("id", "n", "keys", "sketch").join(reps, "id", "left_semi"), "near-classes")
-
-    links, found = None, None
+    identifier have no links, a null component_id, and stay. Identifiers may be of any type with an order.
+    Texts of any length are whole. Other columns are ignored; an empty table gives an empty result."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    feats = materialise(docs.mapInArrow(_features, f"id {kind}, n long, digest binary, keys array<long>, sketch binary"), "near-features")
+    real = feats.where("digest IS NOT NULL AND id IS NOT NULL")
+    classes = real.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    classes = materialise(classes, "near-digests")
+    known = real.select("id", "n", "digest", "keys", "sketch").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    known = materialise(known, "near-classes")
+    if known.count() > classes.count():  # repeated rows, or several texts of an identifier
+        known = materialise(known.dropDuplicates(["id", "digest"]), "near-distinct")
+    known = known.drop("digest")
+
     tested = None
+    same = _shared_identifiers(real, classes)
+    found = None if same is None else _connect(None, same)
+    component = lambda x: F.coalesce(f"of_{x}", x)
     rows = known.select("id", "n", F.explode("keys").alias("key"))
     depth = 0
     while rows is not None:
@@ -203,12 +277,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars = shared.where((F.col("id") != F.col("centre")) & _alike(F.col("n"), F.col("n_centre")))
         if found is not None:  # finer buckets: only what isn't connected yet
             of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
-            stars = stars.join(of("id"), "id", "left").join(of("centre"), "centre", "left").where(F.coalesce("of_id", "id") != F.coalesce("of_centre", "centre"))
+            stars = stars.join(of("id"), "id", "left").join(of("centre"), "centre", "left").where(component("id") != component("centre"))
         stars = stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.least("n", "n_centre").alias("n"))
-        links, tested = _test(stars, links, tested, known, docs, f"{tag}-star")
-        found = components(links)
+        links, tested = _test(stars, tested, known, docs, f"{tag}-star")
+        found = _connect(found, links)
 
-        at = shared.where("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        at = shared.where("size > 2")
+        at = at.withColumn("component", F.col("id")) if found is None else at.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         at = materialise(at, f"{tag}-placed")
         mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         opened = materialise(at.join(mixed, "key"), f"{tag}-open")
@@ -224,19 +299,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             best = large.join(heavy, "centre").groupBy("id").agg(F.max(F.struct("heft", "centre")).alias("best"))
             shared_ref = large.join(best, "id").groupBy("key").agg(F.max("best").alias("best")).select("key", F.col("best.centre").alias("reference"))
             large = materialise(large.join(shared_ref, "key"), f"{tag}-large")
-            apart = large.select(F.col("reference").alias("a"), F.col("id").alias("b")).distinct()
-            apart = materialise(_with_texts(apart, docs, f"{tag}-apart").mapInArrow(_differences, "a long, b long, n long, common long, others array<long>"), f"{tag}-apart")
+            apart = materialise(large.select(F.col("reference").alias("a"), F.col("id").alias("b")).distinct(), f"{tag}-references")
+            apart = materialise(_with_texts(apart, docs, f"{tag}-apart").mapInArrow(_differences, f"a {kind}, b {kind}, n long, common long, others array<long>"), f"{tag}-apart")
             measured = apart.groupBy(F.col("a").alias("reference"), F.col("b").alias("id")).agg(F.max("common").alias("common"))
-            spread = large.join(measured, ["reference", "id"])
+            # A pair's bound only reaches the threshold if each has that share of itself in common with the reference.
+            spread = large.join(measured, ["reference", "id"]).where(100 * F.col("common") >= PERCENT * F.col("n"))
             least = F.least("common", "common_x")
             pairs = pairs.unionByName(_cross(spread, spread, 100 * least >= PERCENT * (F.col("n") + F.col("n_x") - least)))
             finer = apart.select("a", F.col("b").alias("id"), "n", F.explode("others").alias("shingle"))
             rows = materialise(finer.select("id", "n", F.xxhash64("a", "shingle").alias("key")).distinct(), f"{tag}-finer")
-        links, tested = _test(pairs, links, tested, known, docs, f"{tag}-rest")
-        found = components(links)
+        links, tested = _test(pairs, tested, known, docs, f"{tag}-rest")
+        found = _connect(found, links)
 
-    of = found.select(F.col("id").alias("rep"), "component")
-    out = members.join(of, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "id"))
+    known_as = classes.withColumn("component", F.col("rep")) if found is None else classes.join(found, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep"))
+    known_as = materialise(known_as.select("digest", "rows", "component"), "near-components")
+    out = _of_classes(feats, known_as).withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

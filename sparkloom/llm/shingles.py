@@ -64,12 +64,13 @@ class Shingler:
 class OnePermutation:
     """One-permutation MinHash with optimal densification: the hash range is cut into bins,
     a bin's value is its least hash, and an empty bin copies the first filled one of its own
-    random sequence of bins. bands * rows bins make `bands` bucket keys."""
+    random sequence of bins. bands * rows bins make `bands` bucket keys. The sequences are long enough for
+    sets that fill a sixth of the bins (a chance of 1e-17 to miss all of those); smaller sets have `prefix`."""
 
-    def __init__(self, bands: int = 40, rows: int = 5, seed: int = 29):
+    def __init__(self, bands: int = 40, rows: int = 5, seed: int = 29, probes: int = 256):
         self.bands, self.rows, self.bins = bands, rows, bands * rows
         self.edges = np.array([(i << 64) // self.bins for i in range(self.bins)], np.uint64)
-        self.probe = (stream(self.bins * 64, seed) % np.uint64(self.bins)).astype(np.int64).reshape(64, self.bins)
+        self.probe = (stream(self.bins * probes, seed) % np.uint64(self.bins)).astype(np.int64).reshape(probes, self.bins)
         self.salt = stream(bands, seed + 1)
         self.weights = stream(rows, seed + 2) | np.uint64(1)
 
@@ -95,6 +96,15 @@ class OnePermutation:
             return _splitmix((_splitmix(signature.reshape(self.bands, self.rows)) * self.weights).sum(axis=1, dtype=np.uint64) + self.salt).view(np.int64)
 
 
+def prefix(hashes: np.ndarray, percent: int = 75) -> np.ndarray:
+    """Keys of a small set: two sets that resemble one another share one of them, without exception. Both share
+    at least percent of the larger set, so of either set's hashes, in order, the first |set| - that + 1
+    have a common one."""
+    n = len(hashes)
+    with np.errstate(over="ignore"):
+        return _splitmix(hashes[: n + percent * -n // 100 + 1] ^ np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+
+
 def resemble(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     """100 * intersection >= percent * union, of sorted distinct hashes."""
     if not len(a) or not len(b):
