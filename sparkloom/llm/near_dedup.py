@@ -42,9 +42,10 @@ EXACT = 64
 #: Sketches refute a pair if fewer than this share of bins agree; only sets of at least so many
 #: shingles are refuted, where the share at similarity 0.75 is 5 standard deviations above.
 SKETCH_SHARE, SKETCH_LEAST = 0.6, 400
-#: Open buckets of at most so many members have all their pairs confirmed; after the last refinement, all open
-#: buckets have.
-SMALL, DEEPEST = 48, 8
+#: Open buckets of at most so many members have all their pairs confirmed. Larger ones are refined until they
+#: have, all together, no more pairs than there are classes; then theirs are confirmed too. Buckets shrink with each
+#: refinement; DEEPEST only ends a chain of them that doesn't.
+SMALL, DEEPEST = 48, 16
 #: Pairs of one document, at least, from which on its text goes to several tasks.
 HEAVY = 20_000
 
@@ -259,6 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if known.count() > classes.count():  # repeated rows, or several texts of an identifier
         known = materialise(known.dropDuplicates(["id", "digest"]), "near-distinct")
     known = known.drop("digest")
+    most_pairs = classes.count()
 
     tested = None
     same = _shared_identifiers(real, classes)
@@ -287,7 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = materialise(at, f"{tag}-placed")
         mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         opened = materialise(at.join(mixed, "key"), f"{tag}-open")
-        whole = F.lit(depth >= DEEPEST) | (F.col("size") <= SMALL)
+        in_large = opened.where(F.col("size") > SMALL).groupBy("key").agg(F.first("size").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+        whole = F.lit(depth >= DEEPEST or in_large <= most_pairs) | (F.col("size") <= SMALL)
         small = opened.where(whole)
         pairs = _cross(small, small, F.lit(True))
         large = opened.where(~whole)
