@@ -43,9 +43,9 @@ EXACT = 64
 #: shingles are refuted, where the share at similarity 0.75 is 5 standard deviations above.
 SKETCH_SHARE, SKETCH_LEAST = 0.6, 400
 #: Open buckets of at most so many members have all their pairs confirmed. Larger ones are refined until they
-#: have, all together, no more pairs than there are classes; then theirs are confirmed too. Buckets shrink with each
+#: have, all together, no more than PAIRS pairs of different components for each class; then theirs are confirmed too. Buckets shrink with each
 #: refinement; DEEPEST only ends a chain of them that doesn't.
-SMALL, DEEPEST = 48, 16
+SMALL, PAIRS, DEEPEST = 48, 1, 16
 #: Pairs of one document, at least, from which on its text goes to several tasks.
 HEAVY = 20_000
 
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if known.count() > classes.count():  # repeated rows, or several texts of an identifier
         known = materialise(known.dropDuplicates(["id", "digest"]), "near-distinct")
     known = known.drop("digest")
-    most_pairs = classes.count()
+    most_pairs = PAIRS * classes.count()
 
     tested = None
     same = _shared_identifiers(real, classes)
@@ -289,19 +289,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = materialise(at, f"{tag}-placed")
         mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         opened = materialise(at.join(mixed, "key"), f"{tag}-open")
-        in_large = opened.where(F.col("size") > SMALL).groupBy("key").agg(F.first("size").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+        parts = opened.where(F.col("size") > SMALL).groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+        parts = parts.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"))
+        in_large = parts.agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()[0] or 0
         whole = F.lit(depth >= DEEPEST or in_large <= most_pairs) | (F.col("size") <= SMALL)
         small = opened.where(whole)
         pairs = _cross(small, small, F.lit(True))
         large = opened.where(~whole)
         rows = None
         if not large.isEmpty():
-            # The bound holds for any reference, so neighbouring buckets take one: the weightiest centre of
-            # all the buckets that their members are in.
-            heavy = weight.select(F.col("id").alias("centre"), F.col("weight").alias("heft"))
-            best = large.join(heavy, "centre").groupBy("id").agg(F.max(F.struct("heft", "centre")).alias("best"))
-            shared_ref = large.join(best, "id").groupBy("key").agg(F.max("best").alias("best")).select("key", F.col("best.centre").alias("reference"))
-            large = materialise(large.join(shared_ref, "key"), f"{tag}-large")
+            # The bound holds for any reference. At first neighbouring buckets take one, the weightiest centre of
+            # all the buckets that their members are in. Finer buckets take their own centre: it has the shingle that
+            # the bucket stands for, so what its members share besides gets less with each round.
+            if depth == 1:
+                heavy = weight.select(F.col("id").alias("centre"), F.col("weight").alias("heft"))
+                best = large.join(heavy, "centre").groupBy("id").agg(F.max(F.struct("heft", "centre")).alias("best"))
+                shared_ref = large.join(best, "id").groupBy("key").agg(F.max("best").alias("best")).select("key", F.col("best.centre").alias("reference"))
+                large = large.join(shared_ref, "key")
+            else:
+                large = large.withColumn("reference", F.col("centre"))
+            large = materialise(large, f"{tag}-large")
             apart = materialise(large.select(F.col("reference").alias("a"), F.col("id").alias("b")).distinct(), f"{tag}-references")
             apart = materialise(_with_texts(apart, docs, f"{tag}-apart").mapInArrow(_differences, f"a {kind}, b {kind}, n long, common long, others array<long>"), f"{tag}-apart")
             measured = apart.groupBy(F.col("a").alias("reference"), F.col("b").alias("id")).agg(F.max("common").alias("common"))
