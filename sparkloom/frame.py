@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from sparkloom.functions import strings
 from sparkloom.operators import agg, joins, missing, resample, reshape, rows, stats, window
 from sparkloom.sources import files
 
@@ -19,6 +20,8 @@ from sparkloom.sources import files
 METHODS: dict[str, Callable[..., Any]] = {
     "select": rows.select, "drop": rows.drop, "rename": rows.rename, "filter": rows.filter_rows, "with_column": rows.with_column, "with_columns": rows.with_columns, "with_columns_ordered": rows.with_columns_ordered,
     "sort": rows.sort, "arg_sort": rows.arg_sort, "head": rows.head, "tail": rows.tail, "slice": rows.slice_rows, "take": rows.take, "row": rows.get_row, "with_row_index": rows.with_row_index, "with_columns_frame": rows.hstack,
+    "add_column": rows.add_column, "column": rows.column, "column_at": rows.column_at, "clone": rows.clone, "to_text": rows.to_text, "concat_columns": lambda df, other, order_bys: reshape.concat_columns([df, other], order_bys),
+    "union_distinct": reshape.union_distinct, "intersect": reshape.intersect, "subtract": reshape.subtract, "to_integer": strings.to_integer_column,
     "shape": rows.shape, "is_empty": rows.is_empty, "has_column": rows.has_column,
     "join": joins.join, "join_where": joins.join_where, "merge_asof": joins.asof_join, "rolling_join": joins.rolling_join,
     "top_k": agg.group_top_k, "reduce": agg.reduce_columns, "over": window.over, "over_all": window.over_all,
@@ -66,6 +69,9 @@ class Frame:
     def aggregate(self, **named: Column) -> Frame:
         return Frame(self.df.agg(*[c.alias(n) for n, c in named.items()]))
 
+    def __str__(self) -> str:
+        return rows.to_text(self.df)
+
     def collect(self) -> list[dict[str, Any]]:
         return [r.asDict(recursive=True) for r in self.df.collect()]
 

@@ -10,9 +10,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.types import dtype
+
 _SPACES = r"[\s\u0085\p{Z}]"
 
 
@@ -71,19 +73,19 @@ def is_title(s: Column) -> Column:
 
 
 def is_alpha(s: Column) -> Column:
-    return _sure(s.rlike(r"^\p{L}+$"))
+    return _sure(s.rlike(r"^\p{L}+\z"))
 
 
 def is_numeric(s: Column) -> Column:
-    return _sure(s.rlike(r"^\p{N}+$"))
+    return _sure(s.rlike(r"^\p{N}+\z"))
 
 
 def is_alphanumeric(s: Column) -> Column:
-    return _sure(s.rlike(r"^[\p{L}\p{N}]+$"))
+    return _sure(s.rlike(r"^[\p{L}\p{N}]+\z"))
 
 
 def is_space(s: Column) -> Column:
-    return _sure(s.rlike(f"^{_SPACES}+$"))
+    return _sure(s.rlike(rf"^{_SPACES}+\z"))
 
 
 def is_numeric_str(s: Column) -> Column:
@@ -286,10 +288,27 @@ def to_integer(s: Column, base: int = 10) -> Column:
     """bigint; null where it doesn't parse."""
     t = F.trim(s)
     if base == 10:
-        return F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint"))
+        return F.when(t.rlike(r"^[+-]?\d+\z"), t.try_cast("bigint"))
     digits = "0123456789abcdefghijklmnopqrstuvwxyz"[:base]
     value = F.conv(F.regexp_replace(t, "^[+-]", ""), base, 10).try_cast("bigint")
-    return F.when(t.rlike(f"(?i)^[+-]?[{digits}]+$"), F.when(F.startswith(t, F.lit("-")), -value).otherwise(value))
+    return F.when(t.rlike(rf"(?i)^[+-]?[{digits}]+\z"), F.when(F.startswith(t, F.lit("-")), -value).otherwise(value))
+
+
+#: Integer types from narrow to wide, with their bounds; unsigned ones come after the signed type of their width.
+_INTEGERS = [(kind, low, high) for bits in (8, 16, 32) for kind, low, high in ((f"i{bits}", -(2 ** (bits - 1)), 2 ** (bits - 1) - 1), (f"u{bits}", 0, 2**bits - 1))]
+
+
+def narrowest_integer(df: DataFrame, column: str) -> str:
+    """Name of the narrowest integer type that holds all of a column's integers; i64 for the widest. One pass
+    finds the least and the greatest value."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return next((kind for kind, a, b in _INTEGERS if low is not None and a <= low and high <= b), "i64")
+
+
+def to_integer_column(df: DataFrame, column: str, base: int = 10) -> DataFrame:
+    """df with a column of texts parsed as integers of the narrowest type; null where one doesn't parse."""
+    parsed = df.withColumn(column, to_integer(F.col(column), base))
+    return parsed.withColumn(column, F.col(column).cast(dtype(narrowest_integer(parsed, column))))
 
 
 def to_float(s: Column) -> Column:
@@ -411,7 +430,7 @@ def decode(s: Column, encoding: str) -> Column:
     if name == "base64":
         return F.try_to_binary(s, F.lit("base64")).cast("string")
     if name == "hex":
-        return F.when(s.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(s).cast("string"))
+        return F.when(s.rlike(r"^([0-9A-Fa-f]{2})*\z"), F.unhex(s).cast("string"))
     if name in ("utf-8", "utf8"):
         return s
     if name == "ascii":
@@ -420,7 +439,7 @@ def decode(s: Column, encoding: str) -> Column:
 
 
 def is_ascii(s: Column) -> Column:
-    return _sure(s.rlike(r"^[\x00-\x7F]*$"))
+    return _sure(s.rlike(r"^[\x00-\x7F]*\z"))
 
 
 def is_utf8(s: Column) -> Column:

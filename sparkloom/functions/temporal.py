@@ -4,7 +4,7 @@ nanoseconds are microseconds times a thousand. Adding months keeps to the end of
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -309,6 +309,21 @@ def localize(t: Column, zone: str) -> Column:
     return t
 
 
+def with_zone(df: DataFrame, column: str, zone: str) -> DataFrame:
+    """df with a zone as the label of a timestamp column, kept in the schema's metadata; values stay."""
+    return df.withMetadata(column, {**df.schema[column].metadata, "timezone": load_timezone(zone)})
+
+
+def get_timezone(df: DataFrame, column: str) -> str:
+    """The label of a timestamp column; UTC without one."""
+    return df.schema[column].metadata.get("timezone", "UTC")
+
+
+def convert_column(df: DataFrame, column: str, zone: str) -> DataFrame:
+    """df with a timestamp column shown in a zone: its wall clock there, labelled with the zone."""
+    return with_zone(df.withColumn(column, in_timezone(F.col(column), zone)), column, zone)
+
+
 def from_epoch(n: Column, unit: str = "second") -> Column:
     name = _unit(unit)
     scale = {"second": F.timestamp_seconds, "millisecond": F.timestamp_millis, "microsecond": F.timestamp_micros}
@@ -348,3 +363,44 @@ def date_range(spark: SparkSession, start: str, end: str | None = None, frequenc
         if closed in ("left", "neither"):
             rows = rows.where(F.col(name) < e)
     return rows.where(~F.dayofweek(name).isin(1, 7)) if business else rows
+
+
+@dataclass(frozen=True)
+class DateRangeBuilder:
+    """date_range, put together part by part; each part gives a new builder."""
+
+    first: str | None = None
+    last: str | None = None
+    step: str = "1d"
+    number: int | None = None
+    bounds: str = "both"
+    zone: str | None = None
+
+    def start(self, at: str) -> DateRangeBuilder:
+        return replace(self, first=at)
+
+    def end(self, at: str) -> DateRangeBuilder:
+        return replace(self, last=at)
+
+    def frequency(self, text: str) -> DateRangeBuilder:
+        parse_frequency(text)
+        return replace(self, step=text)
+
+    def count(self, n: int) -> DateRangeBuilder:
+        return replace(self, number=n)
+
+    def closed(self, bounds: str) -> DateRangeBuilder:
+        return replace(self, bounds=bounds)
+
+    def inclusive(self, both: bool) -> DateRangeBuilder:
+        return replace(self, bounds="both" if both else "left")
+
+    def timezone(self, zone: str) -> DateRangeBuilder:
+        """Start and end are wall clocks of the zone."""
+        return replace(self, zone=load_timezone(zone))
+
+    def build(self, spark: SparkSession, name: str = "ts") -> DataFrame:
+        if self.first is None or (self.last is None and self.number is None):
+            raise ValueError("start, and end or count, are needed")
+        rows = date_range(spark, self.first, self.last, self.step, self.number, self.bounds, name)
+        return rows if self.zone is None else with_zone(rows.withColumn(name, to_utc(F.col(name), self.zone)), name, self.zone)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.storage import materialise
+from sparkloom.types import ColType, columns_of_type
 
 
 def check_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -33,9 +34,13 @@ def orders(by: Sequence[str], descending: bool | Sequence[bool] = False, nulls_f
     return out
 
 
-def select(df: DataFrame, *columns: str | Column) -> DataFrame:
+def select(df: DataFrame, *columns: str | Column | ColType) -> DataFrame:
+    """Names, "*", expressions, and `col_type` for all columns of a type in the schema's order."""
     check_columns(df, [c for c in columns if isinstance(c, str) and c != "*"])
-    return df.select(*columns)
+    out: list[str | Column] = []
+    for c in columns:
+        out += [F.col(f"`{n}`") for n in columns_of_type(df.schema, c.kind)] if isinstance(c, ColType) else [c]
+    return df.select(*out)
 
 
 def drop(df: DataFrame, *columns: str) -> DataFrame:
@@ -60,10 +65,18 @@ def with_column(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _names_in(c: Column) -> set[str]:
-    """Names of unresolved attributes in an expression."""
-    import re
-
-    return set(re.findall(r"[A-Za-z_]\w*", str(c)))
+    """Names of the columns that an expression refers to, from its tree: literals, function names and
+    lambda variables are none."""
+    found, todo = set(), [c._jc.node()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "UnresolvedAttribute":
+            parts = node.nameParts()
+            names = [parts.apply(i) for i in range(parts.size())]
+            found |= {names[0], ".".join(names)}
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
 
 
 def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -169,6 +182,43 @@ def hstack(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_o
     return a.join(b, "__row").drop("__row")
 
 
+def add_column(df: DataFrame, column: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """df with a column of its own (a series), row by row: the n-th of the series, in the order that it was made
+    in, to the n-th row along order_by. Equal lengths, a new name."""
+    if len(column.columns) != 1:
+        raise ValueError("a series has one column")
+    name = column.columns[0]
+    if name in df.columns:
+        raise ValueError(f"column exists: {name}")
+    numbered = column.withColumn("__at", F.monotonically_increasing_id())
+    return hstack(df, numbered, order_by, ["__at"]).drop("__at")
+
+
+def column_at(df: DataFrame, i: int) -> DataFrame:
+    """The i-th column as a series."""
+    if not 0 <= i < len(df.columns):
+        raise IndexError("index out of bounds")
+    return df.select(F.col(f"`{df.columns[i]}`"))
+
+
+def column(df: DataFrame, name: str) -> DataFrame:
+    check_columns(df, [name])
+    return df.select(F.col(f"`{name}`"))
+
+
+def clone(df: DataFrame) -> DataFrame:
+    """The same rows under a frame of its own."""
+    return df.select("*")
+
+
+def to_text(df: DataFrame, rows: int = 10, width: int = 20) -> str:
+    """The shape and the first rows as a table of text; only these rows are fetched."""
+    head = [[("null" if v is None else str(v))[:width] for v in r] for r in df.limit(rows).collect()]
+    lines = [df.columns, *head]
+    wide = [max(len(line[i]) for line in lines) for i in range(len(df.columns))]
+    return "\n".join([f"{df.count()} x {len(df.columns)}", *["  ".join(v.ljust(w) for v, w in zip(line, wide, strict=True)).rstrip() for line in lines]])
+
+
 def shape(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
 

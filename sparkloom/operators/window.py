@@ -82,6 +82,24 @@ class Function:
     cast: str | None = None
     columns: tuple[str, ...] = ()
 
+    def over(self, spec: Spec) -> Column:
+        """The expression, for use in a projection. A GROUPS frame needs a column that is added first: it has `over`,
+        the function."""
+        if spec.frame and spec.frame[0] == "groups" and self.frame != "ordered":
+            raise ValueError("GROUPS frames: use over(df, name, function, spec)")
+        return self.within(spec, spec)
+
+    def within(self, spec: Spec, framed: Spec) -> Column:
+        if self.needs_order and not spec.ordering:
+            raise ValueError("ORDER BY is required")
+        how = self.frame if self.frame != "whole unless framed" else "framed" if spec.frame else "whole"
+        if how == "ordered":
+            w = spec.ordered() if spec.ordering else Window.partitionBy(*spec.partitions).orderBy(F.lit(1))
+        else:
+            w = spec.whole() if how == "whole" else framed.framed()
+        value = self.make().over(w)
+        return value.cast(self.cast) if self.cast else value
+
 
 def row_number() -> Function:
     return Function(F.row_number, frame="ordered", cast="bigint")
@@ -178,13 +196,5 @@ def over_all(df: DataFrame, functions: dict[str, Function], spec: Spec) -> DataF
         else:
             df = df.withColumn("__group", F.dense_rank().over(spec.ordered()))
             framed = Spec(spec.partitions, (("__group", True),), ("range", spec.frame[1], spec.frame[2]))
-    new = {}
-    for name, f in functions.items():
-        how = f.frame if f.frame != "whole unless framed" else "framed" if spec.frame else "whole"
-        if how == "ordered":
-            w = spec.ordered() if spec.ordering else Window.partitionBy(*spec.partitions).orderBy(F.lit(1))
-        else:
-            w = spec.whole() if how == "whole" else framed.framed()
-        value = f.make().over(w)
-        new[name] = value.cast(f.cast) if f.cast else value
+    new = {name: f.within(spec, framed) for name, f in functions.items()}
     return df.withColumns(new).select(*columns, *[n for n in new if n not in columns])

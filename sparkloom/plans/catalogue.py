@@ -5,9 +5,7 @@ Sums and means of doubles depend on the order of addition, so both sides round t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import exprs as X
@@ -21,29 +19,10 @@ from sparkloom.operators import resample as Z
 from sparkloom.operators import rows as R
 from sparkloom.operators import stats as T
 from sparkloom.operators import window as W
+from sparkloom.plans import surface
+from sparkloom.plans.registry import ORACLE, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, source: str | tuple[str, ...], sql: str | None = None):
-    """Register a function of tables as a query, with its oracle where SQL can express it."""
-    names = (source,) if isinstance(source, str) else source
-
-    def register(fn: Callable[..., DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(*[table(spark, sf_dir, t) for t in names])
-        if sql:
-            ORACLE[name] = sql
-        return fn
-
-    return register
-
+__all__ = ["ORACLE", "QUERIES", "surface"]  # surface registers queries of its own
 
 # ---------------------------------------------------------------- projection, filter, expressions
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.strings import java_pattern
+from sparkloom.storage import small_side
 from sparkloom.types import dtype
 
 
@@ -79,29 +81,27 @@ def infer_csv_types(df: DataFrame, rows: int = 100) -> dict[str, str]:
 
 def read_csv(
     spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", skip_rows: int = 0, comment: str | None = None, columns: Sequence[str] | None = None, null_values: Sequence[str] = ("",),
-    infer_rows: int = 100, types: dict[str, str] | None = None, parse_dates: Sequence[str] = (), date_format: str | None = None, schema: T.StructType | None = None,
+    infer_rows: int = 100, types: dict[str, str] | None = None, parse_dates: Sequence[str] = (), date_format: str | None = None, schema: T.StructType | None = None, multi_line: bool = True,
 ) -> DataFrame:
-    """A CSV file as a table. Given types win; the others are inferred from the first rows, and what
+    """CSV files as a table. skip_rows lines at the start of each file are left out; then a quoted value can't
+    have line breaks. Otherwise it can; without multi_line it can't either, and a large file is read by several
+    tasks, the form for files of many gigabytes. Given types win; the others are inferred from the first rows, and what
     doesn't fit is null. Short rows are filled with nulls. Without a header the columns are column_0,
     column_1 and so on. An empty file has no columns, a header alone no rows. With a schema nothing is
     inferred and no job runs before the read, the form to use on large inputs."""
-    reader = spark.read.option("sep", delimiter).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("multiLine", False)
+    reader = spark.read.option("sep", delimiter).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if comment:
         reader = reader.option("comment", comment)
     if schema is not None and not skip_rows:
         raw = reader.option("header", header).schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path)
         types = {f.name: f.dataType for f in schema.fields}
     else:
+        if spark.read.text(path).isEmpty():
+            return spark.createDataFrame([], T.StructType([]))
         if skip_rows:
-            # The lines to skip are the first of the file; they are few and read by one task.
-            lines = spark.read.text(path).withColumn("place", F.monotonically_increasing_id())
-            skipped = lines.orderBy("place").limit(skip_rows).agg(F.max("place")).first()[0]
-            source = lines.where(F.col("place") > (skipped if skipped is not None else -1)).select("value").rdd.map(lambda r: r[0])
+            raw = _csv_lines(spark, path, skip_rows, header, delimiter, comment)
         else:
-            source = path
-        if not skip_rows and spark.read.text(path).isEmpty():
-            return spark.createDataFrame([], T.StructType([]))
-        raw = reader.option("header", header).option("inferSchema", False).csv(source)
+            raw = reader.option("header", header).option("inferSchema", False).csv(path)
         if not header:
             raw = raw.toDF(*[f"column_{i}" for i in range(len(raw.columns))])
     if columns:
@@ -126,6 +126,31 @@ def read_csv(
     return raw.select(*out)
 
 
+def _csv_lines(spark: SparkSession, path: str, skip: int, header: bool, delimiter: str, comment: str | None) -> DataFrame:
+    """The lines of CSV files but for the first ones of each, parsed as texts.
+
+    A file's first lines are in its first block and are numbered there one after the other, so the number of
+    the first one, a row for each file, tells which lines to leave out."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")]
+    lines = spark.read.text(path).select("value", *place)
+    firsts = lines.where("block = 0").groupBy("file").agg(F.min("place").alias("start")).withColumnRenamed("file", "of_file")
+    marked = lines.join(small_side(firsts, 100_000), F.col("file") == F.col("of_file"), "left")
+    at = F.when(F.col("block") == 0, F.col("place") - F.col("start"))
+    wanted = marked.select("value", "file", at.alias("at")).where(F.col("at").isNull() | (F.col("at") >= skip))
+    head = wanted.where(F.col("at") == skip).orderBy("file").select("value").first()
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    parse = lambda value, n: F.from_csv(value, ", ".join(f"c{i} string" for i in range(n)), options)
+    if head is None:
+        return spark.createDataFrame([], T.StructType([]))
+    names = [f for f in spark.range(1).select(parse(F.lit(head[0]), head[0].count(delimiter) + 1).alias("r")).first()["r"] if f is not None]
+    body = wanted.where(F.col("at").isNull() | (F.col("at") > skip)) if header else wanted
+    body = body.where(F.trim("value") != "")
+    if comment:
+        body = body.where(~F.startswith("value", F.lit(comment)))
+    rows = body.select(parse(F.col("value"), len(names)).alias("r"))
+    return rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+
+
 scan_csv = read_csv
 
 
@@ -140,9 +165,19 @@ def write_csv(df: DataFrame, path: str, header: bool = True, delimiter: str = ",
 # ---- Parquet
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, limit: int | None = None, where: Column | None = None) -> DataFrame:
-    """Columns and condition reach the scan. Row groups, batches and buffers are Spark's own settings."""
-    df = spark.read.parquet(path)
+def read_parquet(
+    spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None, limit: int | None = None, where: Column | None = None, schema: T.StructType | None = None, merge_schema: bool = False,
+    batch_rows: int | None = None, split_bytes: int | None = None,
+) -> DataFrame:
+    """Columns and condition reach the scan. A schema saves reading the files' own; merge_schema unites theirs.
+    batch_rows and split_bytes (of a file, for a task) set the session's reader; they don't change results."""
+    for key, value in (("spark.sql.parquet.columnarReaderBatchSize", batch_rows), ("spark.sql.files.maxPartitionBytes", split_bytes)):
+        if value is not None:
+            if value <= 0:
+                raise ValueError(f"not positive: {value}")
+            spark.conf.set(key, value)
+    reader = spark.read.option("mergeSchema", merge_schema)
+    df = (reader.schema(schema) if schema is not None else reader).parquet(*([path] if isinstance(path, str) else path))
     df = df.where(where) if where is not None else df
     if columns:
         missing = [c for c in columns if c not in df.columns]
@@ -217,8 +252,14 @@ def write_ndjson(df: DataFrame, path: str, compression: str = "none", single_fil
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("compression", compression).option("ignoreNullFields", False).json(path)
 
 
+#: Rows of a table that is put together on the driver, or in one value, at most.
+JSON_ROWS = 1_000_000
+
+
 def to_json_text(df: DataFrame, orient: str = "records", pretty: bool = False) -> str:
-    """The whole table as one JSON text on the driver, for small tables: records, columns or values."""
+    """The whole table as one JSON text on the driver: records, columns or values. ValueError beyond JSON_ROWS."""
+    if df.limit(JSON_ROWS + 1).count() > JSON_ROWS:
+        raise ValueError(f"more than {JSON_ROWS} rows: use write_json or write_ndjson")
     rows = [json.loads(x) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toPandas().iloc[:, 0]]
     if orient == "columns":
         data: Any = {c: [r[c] for r in rows] for c in df.columns}
@@ -232,9 +273,31 @@ def to_json_text(df: DataFrame, orient: str = "records", pretty: bool = False) -
 
 
 def write_json(df: DataFrame, path: str, orient: str = "records", pretty: bool = False, compress: bool = False) -> None:
-    """One JSON text in one part file, written by an executor; for small tables. Large ones go to
-    write_ndjson."""
-    text = df.sparkSession.createDataFrame([(to_json_text(df, orient, pretty),)], "value string")
+    """One JSON text in one part file. Records and values are streamed through one task, a row at a time, at any
+    size; pretty texts and columns are put together on the driver, up to JSON_ROWS. write_ndjson writes in parallel."""
+    if pretty or orient == "columns":
+        text = df.sparkSession.createDataFrame([(to_json_text(df, orient, pretty),)], "value string")
+    elif orient in ("records", "values"):
+        cell = F.col("r")
+        rows = df.coalesce(1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r"))
+        if orient == "values":
+            parts = [F.substring(F.to_json(F.array(F.col(f"`{c}`"))), 2, 2**30) for c in df.columns]
+            cell = F.concat(F.lit("["), *[x for i, p in enumerate(parts) for x in ([F.lit(",")] if i else []) + [F.left(p, F.char_length(p) - 1)]], F.lit("]"))
+            rows = df.coalesce(1).select(cell.alias("r"))
+
+        def punctuated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before = "["
+            for batch in batches:
+                lines = []
+                for row in batch.column(0).to_pylist():
+                    lines.append(before + row)
+                    before = ","
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"], pa.string())], names=["value"])
+
+        text = rows.mapInArrow(punctuated, "value string")
+    else:
+        raise ValueError("orient is records, columns or values")
     text.coalesce(1).write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
 
 

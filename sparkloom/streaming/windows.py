@@ -26,3 +26,9 @@ def read_ndjson_stream(spark: SparkSession, path: str, schema: StructType, files
 def for_each_chunk(df: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Calls back with each chunk until the source is used up; an error of the callback ends the query."""
     return df.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_ndjson_stream(df: DataFrame, path: str, checkpoint: str, compression: str = "none") -> StreamingQuery:
+    """Appends a streaming frame to NDJSON files until the source is used up; each chunk is written once."""
+    out = df.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
+    return out.option("compression", compression).option("ignoreNullFields", False).outputMode("append").trigger(availableNow=True).start()

@@ -7,6 +7,8 @@ since midnight in a long.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import types as T
 
 _NAMES: dict[str, T.DataType] = {
@@ -67,3 +69,15 @@ def columns_of_type(schema: T.StructType, kind: str | T.DataType) -> list[str]:
     """Names of the columns of a type, in schema order."""
     want = dtype(kind)
     return [f.name for f in schema.fields if f.dataType == want]
+
+
+@dataclass(frozen=True)
+class ColType:
+    """A selector of all columns of a type."""
+
+    kind: str | T.DataType
+
+
+def col_type(kind: str | T.DataType) -> ColType:
+    dtype(kind)
+    return ColType(kind)
