@@ -1,7 +1,7 @@
 """Equi joins of seven kinds, inequality, as-of and rolling-window joins.
 
-Null keys never match. A side is only broadcast after a count of its rows, cut off at
-BROADCAST_ROWS, says that it is small; otherwise Spark chooses.
+Null keys never match. A side is only broadcast for an inequality after a check of its rows and bytes;
+equi joins leave the choice to Spark.
 """
 
 from __future__ import annotations
@@ -10,18 +10,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.operators.rows import check_columns
+from sparkloom.operators.rows import check_columns, indexed
+from sparkloom.storage import fits, materialise
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
-BROADCAST_ROWS = 100_000
+#: Rows of a side that every row of the other is compared with, at most.
+BROADCAST_ROWS = 5_000
+#: Rows of a key of `by` from which on it is cut into ranges.
+HOT_ROWS = 5_000_000
 #: Ranges that an inequality or ungrouped as-of join is dealt over: as many as shuffle partitions,
 #: within these bounds.
 BUCKETS = (32, 256)
 
 
 def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return fits(df, BROADCAST_ROWS)
 
 
 def _tagged(df: DataFrame, tag: str) -> DataFrame:
@@ -93,7 +98,9 @@ def join_where(left: DataFrame, right: DataFrame, predicates: Sequence[tuple[str
     fits. Nulls never match.
 
     With a small side, it is broadcast. Else both sides are cut into ranges by quantiles of the
-    first predicate's columns; the rows of a left range go to the right ranges that can match."""
+    first predicate's columns; the rows of a left range go to the right ranges that can match, as far as
+    the least and greatest values there allow the other predicates too. Columns that aren't numbers, dates or
+    timestamps have no ranges: then Spark compares all pairs."""
     if not predicates:
         raise ValueError("no predicates")
     plain = []
@@ -118,13 +125,22 @@ def join_where(left: DataFrame, right: DataFrame, predicates: Sequence[tuple[str
         joined = a.join(F.broadcast(b), condition)
     elif _few(left):
         joined = F.broadcast(a).join(b, condition)
+    elif not isinstance(right.schema[plain[0][2]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        joined = a.join(b, condition)
     else:
         x, op, y = plain[0]
         bounds = _bounds(b, rb[y])
         own, last = _bucket(F.col(la[x]), bounds), F.lit(len(bounds))
         reach = F.sequence(own, last) if op in ("<", "<=") else F.sequence(F.lit(0), own)
-        a = a.where(F.col(la[x]).isNotNull()).withColumn("bucket", F.explode(reach))
         b = b.where(F.col(rb[y]).isNotNull()).withColumn("bucket", _bucket(F.col(rb[y]), bounds))
+        for c, how, d in plain[1:]:
+            # The best value of each range: a left row that it doesn't match has none there.
+            best = F.max if how in ("<", "<=") else F.min
+            known = dict(b.groupBy("bucket").agg(best(rb[d])).collect())  # a row for each range
+            kind = right.schema[d].dataType
+            ends = F.array(*[F.lit(known.get(i)).cast(kind) for i in range(len(bounds) + 1)])
+            reach = F.filter(reach, lambda i: compare[how](F.col(la[c]), F.get(ends, i)))  # noqa: B023
+        a = a.where(F.col(la[x]).isNotNull()).withColumn("bucket", F.explode(reach))
         joined = a.join(b, (a["bucket"] == b["bucket"]) & condition)
     out = [F.col(la[c]).alias(c) for c in left.columns]
     out += [F.col(rb[c]).alias(c + suffix if c in left.columns else c) for c in right.columns]
@@ -160,24 +176,39 @@ def asof_join(
         r = r.where(F.col(f"b{i}").isNotNull())
     keys = [f"b{i}" for i in range(len(lb))]
     bounds: list = []
-    if not keys:
+    hot = None
+    if keys:
+        often = l.select(*keys).unionByName(r.select(*keys)).groupBy(*keys).count().where(F.col("count") > HOT_ROWS).select(*keys)
+        often = materialise(often, "asof-frequent")
+        hot = None if often.isEmpty() else often
+    if hot is not None:
+        bounds = _bounds(r.select(_number("k", kind).alias("k")), "k")
+        flag = F.broadcast(hot.withColumn("hot", F.lit(True)))  # all rows / HOT_ROWS at most
+        cut = F.when(F.col("hot"), F.coalesce(_bucket(_number("k", kind), bounds), F.lit(0))).otherwise(F.lit(0))
+        l, r = (side.join(flag, keys, "left").withColumn("bucket", cut) for side in (l, r))
+        keys = [*keys, "bucket"]
+    elif not keys:
         bounds = _bounds(r.select(_number("k", kind).alias("k")), "k")
         l = l.withColumn("bucket", F.coalesce(_bucket(_number("k", kind), bounds), F.lit(0)))  # noqa: E741
         r = r.withColumn("bucket", _bucket(_number("k", kind), bounds))
         keys = ["bucket"]
-    both = l.unionByName(r, allowMissingColumns=True)
+    both = l.drop("hot").unionByName(r.drop("hot"), allowMissingColumns=True)
     # Exact matches count if the right row comes first in the sense of the scan.
     left_last = F.col("row").isNotNull().cast("int") if allow_exact else -F.col("row").isNotNull().cast("int")
     back = Window.partitionBy(*keys).orderBy(F.col("k").asc(), left_last, "turn").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy(F.col("k").desc(), left_last, F.col("turn").asc()).rowsBetween(Window.unboundedPreceding, 0)
     ways = [w for w in (("before", back), ("after", ahead)) if direction == "nearest" or w[0] == ("before" if direction == "backward" else "after")]
     found = both.withColumns({name: F.last("right", ignorenulls=True).over(w) for name, w in ways}).where(F.col("row").isNotNull())
-    if keys == ["bucket"] and bounds:
-        ends = r.groupBy("bucket").agg(F.max_by("right", F.struct("k", "turn")).alias("last"), F.max_by("right", F.struct(-_number("k", kind), "turn")).alias("first"))
-        every = left.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(ends), "bucket", "left")
-        up = Window.orderBy("bucket")
-        ends = every.select("bucket", F.last("last", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.first("first", ignorenulls=True).over(up.rowsBetween(1, Window.unboundedFollowing)).alias("first"))
-        found = found.join(F.broadcast(ends), "bucket", "left")  # a row for each range
+    if keys and keys[-1] == "bucket" and bounds:
+        series = keys[:-1]
+        ends = (r.where("hot") if series else r).groupBy(*keys).agg(F.max_by("right", F.struct("k", "turn")).alias("last"), F.max_by("right", F.struct(-_number("k", kind), "turn")).alias("first"))
+        every = left.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("bucket"))
+        if series:
+            every = hot.crossJoin(F.broadcast(every))  # a row for each range of a frequent key
+        every = every.join(F.broadcast(ends), keys, "left")
+        up = Window.partitionBy(*series).orderBy("bucket")
+        ends = every.select(*keys, F.last("last", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.first("first", ignorenulls=True).over(up.rowsBetween(1, Window.unboundedFollowing)).alias("first"))
+        found = found.join(F.broadcast(ends), keys, "left")  # a row for each range
         for name, _ in ways:
             found = found.withColumn(name, F.coalesce(name, "last" if name == "before" else "first"))
     for name, _ in ways:
@@ -206,8 +237,13 @@ def _number(c: str, kind: str) -> Column:
 
 
 def check_sorted(df: DataFrame, column: str, order_by: Sequence[str]) -> None:
-    """ValueError unless a column doesn't fall along the order."""
-    falls = df.select(F.col(column).alias("v"), F.lag(column).over(Window.orderBy(*order_by)).alias("p")).where("v < p")
+    """ValueError unless a column doesn't fall along the order. Ranges of the order are looked at one by one, and
+    then their ends."""
+    at = indexed(df.select(*dict.fromkeys([*order_by, column])), order_by).withColumn("__v", F.col(column))
+    lag = F.lag("__v").over(Window.partitionBy("__part").orderBy("__i"))
+    ends = at.groupBy("__part").agg(F.min_by("__v", "__i").alias("__v"), F.max_by("__v", "__i").alias("__last"))
+    before = F.lag("__last").over(Window.orderBy("__part"))  # a row for each range
+    falls = at.select("__v", lag.alias("__p")).unionByName(ends.select("__v", before.alias("__p"))).where("__v < __p")
     if not falls.isEmpty():
         raise ValueError(f"{column} must be sorted")
 

@@ -3,7 +3,8 @@
 Directional operators take order_by, a total order, and by, the columns of independent series.
 Without by there is one series. It isn't brought to one task: it is cut into ranges of the order,
 each range is scanned, and what a scan carries over from the ranges before (or after) comes from
-a summary of one row for each range.
+a summary of one row for each range. If a series of by has more than HOT_ROWS rows, series and order
+are cut likewise.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import types as T
 
 from sparkloom.operators.rows import check_columns, indexed, orders
 
+#: Rows of a series from which on it is cut into ranges.
+HOT_ROWS = 5_000_000
+
+
 @dataclass(frozen=True)
 class _Scan:
     """A running aggregate: of a window, of a whole range, and of what comes before with what is here."""
@@ -44,6 +49,8 @@ _MIN = _Scan(F.min, F.min, _either(F.least))
 def _scan(df: DataFrame, order_by: Sequence[str], by: Sequence[str], make: Callable[[], dict[str, tuple[_Scan, Column]]]) -> DataFrame:
     """df with __i, the position in the series, and the scans that make() names, of values that may use __i."""
     check_columns(df, [*order_by, *by])
+    if by and not df.groupBy(*by).count().where(F.col("count") > HOT_ROWS).isEmpty():
+        return _scan_cut(df, order_by, by, make)
     if by:
         w = Window.partitionBy(*by).orderBy(*orders(order_by))
         at = df.withColumn("__i", F.row_number().over(w))
@@ -65,6 +72,27 @@ def _scan(df: DataFrame, order_by: Sequence[str], by: Sequence[str], make: Calla
     return out.withColumns({n: s.combine(F.col(f"__c_{n}"), F.col(n)) for n, (s, _) in scans.items()})
 
 
+def _scan_cut(df: DataFrame, order_by: Sequence[str], by: Sequence[str], make: Callable[[], dict[str, tuple[_Scan, Column]]]) -> DataFrame:
+    """_scan of series that may be longer than a task should read. __i numbers the rows of all series, one after the other."""
+    at = indexed(df, [*by, *order_by])
+    w = Window.partitionBy(*by, "__part").orderBy("__i")
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    scans = make()
+    out = at.withColumns({n: s.running(v).over(after if s.back else before) for n, (s, v) in scans.items()})
+    totals = at.groupBy(*by, "__part").agg(*[s.whole(v).alias(n) for n, (s, v) in scans.items()])
+    # Only series that go on from one range to the next carry anything over: two rows for each range at most.
+    totals = totals.withColumn("__in", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.col("__in") > 1)
+    line = Window.partitionBy(*by).orderBy("__part")
+    earlier, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    fold = lambda n, s: (_SUM if s is _COUNT else s).running(F.col(n)).over(later if s.back else earlier).alias(f"__c_{n}")
+    carried = totals.select(F.col("__part").alias("__of"), *[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], *[fold(n, s) for n, (s, _) in scans.items()])
+    same = F.col("__part") == F.col("__of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    out = out.join(F.broadcast(carried), same, "left")
+    return out.withColumns({n: F.when(F.col("__of").isNull(), F.col(n)).otherwise(s.combine(F.col(f"__c_{n}"), F.col(n))) for n, (s, _) in scans.items()})
+
+
 def _here(c: str) -> Column:
     """Position and value where there is one."""
     return F.when(F.col(c).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(c).alias("v")))

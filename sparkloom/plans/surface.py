@@ -257,6 +257,16 @@ def _(c, s):
     return both.unionByName(more.subtract(right).df.select(F.lit("left").alias("kind"), F.col("k").cast("long").alias("k")))
 
 
+@query("sort_int", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def _(li):
+    return R.sort(li.select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
+
+
+@query("sort_multi", "lineitem", "SELECT l_returnflag, l_shipdate, l_orderkey FROM lineitem")
+def _(li):
+    return R.sort(li.select("l_returnflag", "l_shipdate", "l_orderkey"), "l_returnflag", "l_shipdate", descending=[False, True])
+
+
 # ---------------------------------------------------------------- texts
 
 

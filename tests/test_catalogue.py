@@ -43,3 +43,21 @@ def test_whole_texts_and_sorted_rows(spark):
     nulls = ranked.where("s IS NULL")
     assert ranked.count() == spark.read.parquet(f"{sf}/orders.parquet").count() and nulls.count() > 0
     assert nulls.agg(F.min("row_index")).first()[0] == ranked.where("s IS NOT NULL").count()
+
+
+@pytest.mark.parametrize("gone", [["sparkloom/llm"], ["sparkloom/llm", "corpus_pipeline.py"]])
+def test_entry_without_the_subpackage(tmp_path, gone):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    skip = shutil.ignore_patterns("__pycache__", *[Path(g).name for g in gone])
+    shutil.copytree(root / "sparkloom", tmp_path / "sparkloom", ignore=skip)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if name not in gone and (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+    assert done.returncode == 0, done.stderr

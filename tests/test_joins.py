@@ -99,3 +99,56 @@ def test_rolling_join(spark):
     assert J.rolling_join(left, right, "time", 3).count() == 4
     with pytest.raises(ValueError):
         J.rolling_join(left, right, "time", 0)
+
+
+def test_frequent_keys_are_cut_into_ranges(spark, monkeypatch):
+    """The same rows come out however long a series may be before it is cut."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import missing
+
+    deal = random.Random(3)
+    rows = [(i, deal.choice(["hot", "hot", "hot", "a", "b", None]), deal.randint(0, 400), deal.choice([None, deal.randint(0, 9)])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v long")
+    right = df.where("id % 3 = 0").select("k", "t", F.col("id").alias("hit"))
+
+    def results():
+        out = []
+        for direction in ("backward", "forward", "nearest"):
+            out.append(sorted(map(repr, J.asof_join(df, right, on="t", by=["k"], direction=direction, right_order=["hit"]).select("id", "hit").collect())))
+        order = {"order_by": ["t", "id"], "by": ["k"]}
+        for f in (missing.forward_fill, missing.backward_fill, missing.cum_sum, missing.cum_count):
+            out.append(sorted(map(repr, f(df, ["v"], **order).collect())))
+        out.append(sorted(map(repr, missing.forward_fill(df, ["v"], limit=1, **order).collect())))
+        out.append(sorted(map(repr, missing.interpolate(df, ["v"], limit=2, area="both", **order).collect())))
+        return out
+
+    whole = results()
+    monkeypatch.setattr(J, "HOT_ROWS", 300)
+    monkeypatch.setattr(missing, "HOT_ROWS", 300)
+    assert results() == whole
+
+
+def test_inequalities_by_ranges(spark, monkeypatch):
+    import random
+
+    deal = random.Random(4)
+    left = [(i, deal.choice([None, deal.randint(0, 50)]), deal.randint(0, 50)) for i in range(200)]
+    right = [(i, deal.randint(0, 50), deal.choice([None, deal.randint(0, 50)])) for i in range(150)]
+    a, b = spark.createDataFrame(left, "i long, x long, y long"), spark.createDataFrame(right, "j long, p long, q long")
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 10)
+    ops = {"<": lambda m, n: m < n, "<=": lambda m, n: m <= n, ">": lambda m, n: m > n, ">=": lambda m, n: m >= n}
+    for one in ops:
+        for two in ops:
+            got = J.join_where(a, b, [("x", one, "p"), ("y", two, "q")]).select("i", "j").collect()
+            want = [(i, j) for i, x, y in left for j, p, q in right if None not in (x, q) and ops[one](x, p) and ops[two](y, q)]
+            assert sorted(map(tuple, got)) == sorted(want), (one, two)
+
+
+def test_check_sorted(spark):
+    df = spark.range(2000).selectExpr("id", "id div 3 as v")
+    J.check_sorted(df, "v", ["id"])
+    with pytest.raises(ValueError, match="sorted"):
+        J.check_sorted(df.selectExpr("id", "case when id = 1999 then 0 else v end as v"), "v", ["id"])
