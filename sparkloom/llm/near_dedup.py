@@ -46,6 +46,18 @@ SKETCH_SHARE, SKETCH_LEAST = 0.6, 400
 #: have, all together, no more than PAIRS pairs of different components for each class; then theirs are confirmed too. Buckets shrink with each
 #: refinement; DEEPEST only ends a chain of them that doesn't.
 SMALL, PAIRS, DEEPEST = 48, 1, 16
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * n >= 75 * (na + nb - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a),
+m AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON doc_id = id
+"""
+
 #: Pairs of one document, at least, from which on its text goes to several tasks.
 HEAVY = 20_000
 

@@ -61,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_near_dedup": near_dedup.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op8_sharding": sharding.ORACLE,
 }

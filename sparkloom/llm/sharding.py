@@ -26,6 +26,30 @@ from sparkloom.llm.common import materialise, partitions, small_side
 
 SHARDS, CELLS = 16, 4096
 
+# In SQL: prefix sums of the groups; a search whose state is the bounds, the capacity tried, and how far the greedy pass
+# with it came; the cuts of that pass at the smallest capacity. Checksums are reduced byte by byte over a table.
+ORACLE = rf"""
+WITH RECURSIVE bits(b, k, c) AS (SELECT range::BIGINT, 0, range::BIGINT FROM range(256) UNION ALL SELECT b, k + 1, xor(c >> 1, (c & 1) * 3988292384) FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS key, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size FROM documents),
+crc AS (SELECT rid, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(size - 1), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS crc
+  FROM (SELECT rid, size, hex(encode(text)) AS h FROM d), tab),
+g AS (SELECT key, sum(size)::BIGINT AS bytes FROM d GROUP BY key),
+o AS (SELECT key, bytes, sum(bytes) OVER (ORDER BY key)::BIGINT AS stop FROM g),
+e AS (SELECT list_prepend(0, list(stop ORDER BY stop)) AS ends, max(stop) AS total, max(bytes) AS biggest FROM o),
+search(lo, hi, pos, used) AS (
+  SELECT greatest((total + {SHARDS - 1}) // {SHARDS}, biggest)::BIGINT, (greatest((total + {SHARDS - 1}) // {SHARDS}, biggest) + biggest)::BIGINT, 0::BIGINT, 0 FROM e
+  UNION ALL
+  SELECT CASE WHEN nxt < total AND used = {SHARDS - 1} THEN mid + 1 ELSE lo END, CASE WHEN nxt = total THEN mid ELSE hi END, CASE WHEN nxt = total OR used = {SHARDS - 1} THEN 0 ELSE nxt END, CASE WHEN nxt = total OR used = {SHARDS - 1} THEN 0 ELSE used + 1 END
+  FROM (SELECT lo, hi, used, total, (lo + hi) // 2 AS mid, list_max(list_filter(ends, lambda x: x <= pos + (lo + hi) // 2)) AS nxt FROM search, e WHERE lo < hi)),
+cap AS (SELECT lo AS c FROM search WHERE lo >= hi),
+cuts(j, start, stop) AS (
+  SELECT 0, 0::BIGINT, list_max(list_filter(ends, lambda x: x <= c)) FROM e, cap
+  UNION ALL SELECT j + 1, stop, list_max(list_filter(ends, lambda x: x <= stop + c)) FROM cuts, e, cap WHERE j < {SHARDS - 1})
+SELECT doc_id, size, crc::BIGINT AS text_crc32, 'bytes' AS law, j::INTEGER AS shard, row_number() OVER (PARTITION BY j ORDER BY key, doc_id NULLS LAST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN crc USING (rid) JOIN o USING (key) JOIN cuts ON o.stop > cuts.start AND o.stop <= cuts.stop
+"""
+
 
 class Ends:
     """What is known of the ends of groups on the line from 0 to total: some ends, and
