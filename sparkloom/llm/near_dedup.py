@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, partitions, small_side
+from sparkloom.llm.common import discard, materialise, partitions, small_side
 from sparkloom.llm.shingles import OnePermutation, Shingler, prefix, resemble
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 40, 5
@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         depth += 1
         tag = f"near-{depth}"
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = materialise(rows.join(sizes, "key"), f"{tag}-buckets")
+        shared = buckets = materialise(rows.join(sizes, "key"), f"{tag}-buckets")
+        entered = rows if depth > 1 else None
         weight = shared.groupBy("id").agg(((F.sum("size") - F.count(F.lit(1))) * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).alias("weight"))
         centres = shared.join(weight, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), "weight").alias("c"))
         shared = materialise(shared.join(centres.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("n_centre")), "key"), f"{tag}-stars")
@@ -330,8 +331,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.unionByName(_cross(spread, spread, 100 * least >= PERCENT * (F.col("n") + F.col("n_x") - least)))
             finer = apart.select("a", F.col("b").alias("id"), "n", F.explode("others").alias("shingle"))
             rows = materialise(finer.select("id", "n", F.xxhash64("a", "shingle").alias("key")).distinct(), f"{tag}-finer")
+            done = [large, apart]
+        else:
+            done = []
         links, tested = _test(pairs, tested, known, docs, f"{tag}-rest")
         found = _connect(found, links)
+        discard(entered, buckets, shared, at, opened, *done)
 
     known_as = classes.withColumn("component", F.col("rep")) if found is None else classes.join(found, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep"))
     known_as = materialise(known_as.select("digest", "rows", "component"), "near-components")
