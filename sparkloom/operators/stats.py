@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators.agg import corr
+from sparkloom.operators.joins import _bounds, _bucket
 from sparkloom.operators.missing import cum_sum
 from sparkloom.operators.rows import check_columns, indexed
-from sparkloom.storage import small_side
+from sparkloom.storage import materialise, small_side
 
 QUANTILE_METHODS = ("linear", "lower", "higher", "midpoint", "nearest")
 
@@ -88,25 +90,66 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None, method: str
     return _matrix(df, columns, corr, spread, min_valid)
 
 
+def _concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Sum of the sign of y's difference times both numbers, over pairs whose x rises: halves are counted against
+    one another by binary search, small stretches pair by pair."""
+    by = np.argsort(x, kind="stable")
+    x, y, n = x[by], y[by], n[by].astype(np.float64)
+    total, todo = 0.0, [(0, len(x))]
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2 or x[i] == x[j - 1]:
+            continue
+        if j - i <= 128:
+            rises = x[i:j, None] < x[None, i:j]
+            sign = (y[i:j, None] < y[None, i:j]).astype(np.int8) - (y[i:j, None] > y[None, i:j])
+            total += float((rises * sign * n[i:j, None] * n[None, i:j]).sum())
+            continue
+        middle = x[(i + j) // 2]
+        cut = i + int(np.searchsorted(x[i:j], middle, "left"))
+        if cut == i:
+            cut = i + int(np.searchsorted(x[i:j], middle, "right"))
+        low = np.argsort(y[i:cut], kind="stable")
+        sorted_y, sums = y[i:cut][low], np.concatenate([[0.0], np.cumsum(n[i:cut][low])])
+        less = sums[np.searchsorted(sorted_y, y[cut:j], "left")]
+        more = sums[-1] - sums[np.searchsorted(sorted_y, y[cut:j], "right")]
+        total += float((n[cut:j] * (less - more)).sum())
+        todo += [(i, cut), (cut, j)]
+    return total
+
+
+def _sum_of_signs(t: DataFrame) -> float:
+    """_concordance of a table of distinct x, y with numbers n, at any size. Both columns are cut into ranges. Pairs in
+    one range of x are counted there, other pairs in one range of y there, and pairs of different ranges from
+    the numbers in the cells."""
+    plain = lambda c: F.col(c).cast("long" if isinstance(t.schema[c].dataType, T.IntegralType) else "double")
+    t = t.select(plain("x").alias("x"), plain("y").alias("y"), "n")
+    cells = materialise(t.select("*", _bucket(F.col("x"), _bounds(t, "x")).alias("bx"), _bucket(F.col("y"), _bounds(t, "y")).alias("by")), "kendall-cells")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [_concordance(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy())]})
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [_concordance(pdf["bx"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy())]})
+
+    parts = cells.groupBy("bx").applyInPandas(inside, "s double").unionByName(cells.groupBy("by").applyInPandas(across, "s double"))
+    grid = cells.groupBy("bx", "by").agg(F.sum("n").alias("n")).toPandas()  # a row for each pair of ranges
+    return (parts.agg(F.sum("s")).first()[0] or 0.0) + _concordance(grid["bx"].to_numpy(), grid["by"].to_numpy(), grid["n"].to_numpy())
+
+
 def _kendall(df: DataFrame, columns: Sequence[str], min_valid: int) -> DataFrame:
-    """Ordered pairs of rows are counted on the table of distinct value pairs with their numbers."""
-    out = []
+    """From the table of distinct value pairs with their numbers."""
+    found: dict[tuple[str, str], float] = {}
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
-            t = df.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-            u = t.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-            pairs = t.join(u, F.col("x") < F.col("x2"))
-            sums = pairs.agg(F.sum(F.signum((F.col("y2") - F.col("y")).cast("double")) * F.col("n") * F.col("n2")).alias("s"))
-            ties = lambda c: t.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"t{c}"))  # noqa: E731, B023
-            every = t.agg(F.sum("n").alias("all"))
-            one = sums.join(ties("x")).join(ties("y")).join(every)  # four frames of one row
-            n0 = F.col("all") * (F.col("all") - 1) / 2
-            tau = F.try_divide(F.coalesce("s", F.lit(0.0)), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
-            out.append(one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col("all") >= min_valid, tau).alias("v")))
-    long = reduce(DataFrame.unionByName, out).collect()  # a row for each pair of columns
-    found = {(r["a"], r["b"]): r["v"] for r in long}
-    get = lambda a, b: 1.0 if a == b else found.get((a, b), found.get((b, a)))
-    rows = [(a, *[float("nan") if get(a, b) is None else float(get(a, b)) for b in columns]) for a in columns]
+            t = materialise(df.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n")), "kendall-pairs")
+            ties = lambda c: t.groupBy(c).agg(F.sum("n").cast("double").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0.0  # noqa: E731, B023
+            every = t.agg(F.sum("n")).first()[0] or 0
+            pairs = every * (every - 1) / 2
+            room = (pairs - ties("x")) * (pairs - ties("y"))
+            if every >= min_valid and room > 0:
+                found[a, b] = found[b, a] = _sum_of_signs(t) / room**0.5
+    rows = [(a, *[1.0 if a == b else found.get((a, b), float("nan")) for b in columns]) for a in columns]
     return df.sparkSession.createDataFrame(rows, ["column", *columns])
 
 

@@ -174,3 +174,23 @@ def test_rank_of_a_whole_table(spark):
             a = T.rank(df, ["v"], method, up, nulls, pct=method == "min", order_by=["i"])
             b = T.rank(one, ["v"], method, up, nulls, pct=method == "min", by=["g"], order_by=["i"])
             assert column(a, "v") == column(b, "v"), (method, nulls)
+
+
+def test_kendall_against_all_pairs(spark):
+    import random
+
+    import numpy as np
+
+    from sparkloom.operators import stats
+
+    deal = random.Random(6)
+    for size, spread in ((400, 30), (1500, 10**6), (300, 3)):
+        rows = [(deal.randint(0, spread), deal.randint(0, spread) / 4, None if deal.random() < 0.05 else deal.randint(0, 5)) for _ in range(size)]
+        got = {r["column"]: r for r in stats.correlation(spark.createDataFrame(rows, "a long, b double, c int"), method="kendall").collect()}
+        full = [r for r in rows if None not in r]
+        for i, m in enumerate("abc"):
+            for j, n in enumerate("abc"):
+                x, y = (np.array([r[k] for r in full], float) for k in (i, j))
+                sx, sy = (np.sign(v[:, None] - v[None, :]) for v in (x, y))
+                want = (sx * sy).sum() / ((sx**2).sum() * (sy**2).sum()) ** 0.5
+                assert abs(got[m][n] - want) < 1e-9, (size, m, n)
