@@ -179,8 +179,7 @@ def asof_join(
     hot = None
     if keys:
         often = l.select(*keys).unionByName(r.select(*keys)).groupBy(*keys).count().where(F.col("count") > HOT_ROWS).select(*keys)
-        often = materialise(often, "asof-frequent")
-        hot = None if often.isEmpty() else often
+        hot = None if often.isEmpty() else materialise(often, "asof-frequent")
     if hot is not None:
         bounds = _bounds(r.select(_number("k", kind).alias("k")), "k")
         flag = F.broadcast(hot.withColumn("hot", F.lit(True)))  # all rows / HOT_ROWS at most
