@@ -53,6 +53,30 @@ def test_group_by(spark):
         A.group_by(df)
 
 
+@pytest.mark.parametrize("order", [[("o_orderdate", True), ("o_orderkey", True)], [("s", False)], [("o_custkey % 7", True)]])
+@pytest.mark.parametrize("frame", [None, ("rows", None, 0), ("rows", -3, 2), ("rows", 1, 4), ("rows", None, None)])
+def test_windows_over_ranges(spark, monkeypatch, order, frame):
+    """Cut into ranges and blocks, a table without partition_by gives what one task does."""
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("s"))
+    df = df.withColumn("v", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey"))).repartition(4)
+    spec = W.Spec(ordering=tuple((F.expr(c) if "%" in c else c, up) for c, up in order), frame=frame)
+    ties = len(order) == 1
+    functions = {"rank": W.rank(), "dense": W.dense_rank(), "pr": W.percent_rank(), "n_all": W.count_rows(), "v": W.sum_("v"), "avg": W.avg("v"), "mn": W.min_("v"), "mx": W.max_("v"), "n": W.count("v")}
+    if ties and frame and frame[1:] != (None, None):
+        functions = {n: f for n, f in functions.items() if n in ("rank", "dense", "pr", "n_all")}  # the others go by the order within ties
+    if not ties:
+        functions |= {"rn": W.row_number(), "tile": W.ntile(7), "lag": W.lag("v", 3, -1), "lead": W.lead("s", 2), "first": W.first_value("s"), "last": W.last_value("v")}
+        functions |= {"nth": W.nth_value("v", 5)} if frame != ("rows", None, 0) else {}
+    one = W.over_all(df, functions, spec)
+    monkeypatch.setattr(W, "ONE_TASK", 0)
+    monkeypatch.setattr(W, "BLOCK", 40)
+    cut = W.over_all(df, functions, spec)
+    assert cut.schema.simpleString() == one.schema.simpleString()
+    assert "SinglePartition" in one._jdf.queryExecution().executedPlan().toString()
+    plain = lambda rows: {r["o_orderkey"]: tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows}
+    assert plain(cut.collect()) == plain(one.collect())
+
+
 def test_windows(spark):
     df = make(spark, [(1, 10), (2, 20), (3, 20), (4, 30)], "i int, v int")
     s = W.Spec().order_by("v")
