@@ -18,8 +18,9 @@ a repeated group of items; each item may be optional. There is no union.
    block goes if each of its texts is one that its slot has on every page with that slot, two
    different pages at least. `article` and `main` elements stay whole but for furniture: the rest is the page's.
 
-Class words only count where a whole word of the class, id or role says so: each of its parts (at - and _)
-must be one of the marks. So `cookie-notice` is furniture, and `story-header` and `share-price` are not.
+Class words only count where a whole word of the class, id or role says so: its parts (at - and _) must be
+marks, which words for a box may follow. So `cookie-notice` and `comment-list` are furniture, and `story-header`
+and `share-price` are not.
 """
 
 from __future__ import annotations
@@ -54,6 +55,11 @@ MARKS = {
     "footer", "gdpr", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies",
     "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words that only say what kind of box a mark has, where they follow it.
+BOXES = {
+    "area", "articles", "bar", "block", "box", "button", "buttons", "container", "form", "group", "inner", "item", "items", "left", "link", "links", "list", "message",
+    "panel", "posts", "right", "section", "slot", "stories", "text", "thread", "unit", "wrap", "wrapper",
+}
 #: Different wrappers of a host that are aligned in one piece, about.
 PIECE = 32
 #: Bits of a table of the alignment that are held at once; a larger one is halved first.
@@ -77,12 +83,23 @@ def _marks(attributes: str) -> str:
         if name == "role" and value in ("main", "article"):
             return "main"
         for word in value.split():
-            parts = [w for w in _PART.split(word) if w]
-            if parts and all(w in MARKS for w in parts):
-                return parts[0]
+            if mark := _mark_of([w for w in _PART.split(word) if w]):
+                return mark
     return ""
 
 
+def _mark_of(parts: list[str]) -> str:
+    """The mark of a class word: all its parts are marks, or follow a mark and name its box, or are `site` and marks. The
+    box of a `header` may be that of the article's title, so it doesn't count."""
+    if len(parts) > 1 and parts[0] == "site":
+        parts = parts[1:]
+        return parts[0] if all(w in MARKS for w in parts) else ""
+    if not parts or parts[0] not in MARKS:
+        return ""
+    rest = MARKS if parts[0] == "header" else MARKS | BOXES
+    return parts[0] if all(w in rest for w in parts[1:]) else ""
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): kind `<` or `>` for tags, with their mark, and `#` for texts as they stand."""
     at = 0

@@ -117,6 +117,14 @@ def test_story_words_are_not_furniture(spark):
     assert got[:4] == want and got[4:] == [w.removesuffix("\n\nAdapted.") for w in want]
 
 
+def test_boxes_of_furniture(spark):
+    gone = ["comment-list", "comments_section", "newsletter-form", "related-posts", "share-buttons", "site-header", "site-nav", "cookie-bar", "ad-container", "Sidebar-left"]
+    kept = ["section-header", "header-text", "site-text", "form-comment", "list", "price-list", "share-price-box", "adapted-text"]
+    page = "<article><h1>T</h1>%s<p>End.</p></article>"
+    boxes = "".join(f'<div class="{c}"><p>{c}</p></div>' for c in gone + kept)
+    assert texts(spark, [("boxes.example", page % boxes)]) == ["\n\n".join(["T", *kept, "End."])]
+
+
 def test_repeats_of_any_length_are_folded():
     long = [f"<x{i}." for i in range(40)]
     items = [[k, False, None] for k in long * 5 + ["<y."] + long * 2]
