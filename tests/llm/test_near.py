@@ -116,3 +116,32 @@ def test_large_stars_and_copies_are_dealt(spark, monkeypatch):
 
 def test_no_links_at_all(spark):
     check(spark, [(i, f"all {i} of {i} these {i} texts {i} differ {i}") for i in range(20)])
+
+def test_rounds_do_not_read_the_table_again(spark, monkeypatch):
+    """The table is read for the features, the stars and the texts of open buckets, however many rounds follow."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "PAIRS", 0)
+    monkeypatch.setattr(near_dedup, "DEEPEST", 3)
+    deal = random.Random(3)
+    base = [f"b{j}" for j in range(200)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in deal.sample(range(200), 9 + i % 3):
+            words[at] = f"e{deal.randint(0, 6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, f"all {i} of {i} these {i} texts {i} differ {i}") for i in range(60)]
+    written, read = [], spark.sparkContext.accumulator(0)
+    note = near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, tag: written.append(tag) or note(df, tag))
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_force(rows)
+    assert "near-2-finer" in written
+    assert read.value <= 4 * len(rows), read.value / len(rows)
