@@ -41,9 +41,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the identifiers and of the decoded bytes. Without the table of
-    frequent words: after four stages the plans with the literal rank map don't fit a small driver."""
-    return byte_bpe.encode(docs, ids=False, table_words=0)
+    """doc_id, n_tokens and the digests of the identifiers and of the decoded bytes. All distinct words are folded and
+    decoded by higher-order functions, but for those beyond byte_bpe.LONG bytes, which go by the heap."""
+    return byte_bpe.encode_folded(docs, ids=False)
 
 
 STAGES = [

@@ -11,6 +11,10 @@ folds the words that are most frequent in a bounded draw of documents in that wa
 FOLDED of them, and sends the table to the workers. There each document is split, and its words
 are looked up; the words that the table lacks are folded on the spot, by the same rule. Results
 do not depend on which words were folded where.
+
+`encode_folded` folds and decodes all distinct words of up to LONG bytes by the higher-order functions. So that it
+doesn't shuffle a row for each word of the corpus, documents are split in blocks: each is a sequence of numbers of the
+block's distinct words, and only these are joined with the folded ones.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -28,6 +33,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import materialise, partitions
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words that a worker keeps at most beyond the table.
 KEPT = 300_000
@@ -36,6 +43,8 @@ FOLDED, DRAWN = 20_000, 4_000
 #: Longer words go by a heap instead of passes over all pairs.
 LONG = 48
 BUCKETS = 4096
+#: A block ends with the document that brings it to so many characters or distinct words.
+BLOCK_CHARS, BLOCK_WORDS = 16_000_000, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -162,20 +171,120 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         e = _encoder(name, place, split, table)
         for batch in batches:
             coded = [e.encode(t.as_py() or "") for t in batch.column(1)]
-            decoded = [e.decode(c) for c in coded]
-            cols = {"id": batch.column(0), "n_tokens": pa.array([len(c) // 4 for c in coded], pa.int64())}
-            if ids:
-                cols["ids"] = pa.array([np.frombuffer(c, "<i4") for c in coded], pa.list_(pa.int32()))
-                cols["decoded"] = pa.array(decoded, pa.binary())
-            if digests:
-                cols["ids_sha256"] = pa.array([hashlib.sha256(c).hexdigest() for c in coded])
-                cols["decoded_sha256"] = pa.array([hashlib.sha256(d).hexdigest() for d in decoded])
+            cols = _columns(batch.column(0), coded, [e.decode(c) for c in coded], ids, digests)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(encoded, _schema(docs, id_col, ids, digests)).withColumnRenamed("id", id_col)
+
+
+def _columns(names, coded: list[bytes], decoded: list[bytes], ids: bool, digests: bool) -> dict:
+    cols = {"id": names, "n_tokens": pa.array([len(c) // 4 for c in coded], pa.int64())}
+    if ids:
+        cols["ids"] = pa.array([np.frombuffer(c, "<i4") for c in coded], pa.list_(pa.int32()))
+        cols["decoded"] = pa.array(decoded, pa.binary())
+    if digests:
+        cols["ids_sha256"] = pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string())
+        cols["decoded_sha256"] = pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())
+    return cols
+
+
+def _schema(docs: DataFrame, id_col: str, ids: bool, digests: bool) -> str:
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long" + ", ids array<int>, decoded binary" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    return f"id {kind}, n_tokens long" + ", ids array<int>, decoded binary" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+
+
+def split_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_chars: int = BLOCK_CHARS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row for each document, with its block, id and sequence (the numbers of its words in the block, packed), and
+    one for each distinct word of a block, with the block, the number and the word's bytes. Blocks are made of the rows
+    that a task meets, so the table must be written before it is used twice."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+
+        def rows(ids, seqs):
+            n = len(seqs)
+            cols = [pa.array([block] * n, pa.string()), ids, pa.array(seqs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "id", "seq", "k", "word"])
+
+        def words(kind):
+            listed = list(numbers)
+            for at in range(0, len(listed), 20_000):
+                some = [w.encode("utf-8", "surrogatepass") for w in listed[at : at + 20_000]]
+                n = len(some)
+                cols = [pa.array([block] * n, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(range(at, at + n), pa.int32()), pa.array(some, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "id", "seq", "k", "word"])
+
+        def begin():
+            fresh = defaultdict()
+            fresh.default_factory = fresh.__len__
+            return uuid.uuid4().hex, fresh, 0
+
+        block, numbers, chars = begin()
+        kind = pa.null()
+        for batch in batches:
+            kind, start, seqs = batch.column(0).type, 0, []
+            for i, t in enumerate(batch.column(1)):
+                text = t.as_py() or ""
+                seqs.append(zlib.compress(np.fromiter(map(numbers.__getitem__, find(text)), "<u4").tobytes(), 1))
+                chars += len(text)
+                if chars >= block_chars or len(numbers) >= block_words:
+                    yield rows(batch.column(0).slice(start, len(seqs)), seqs)
+                    yield from words(kind)
+                    block, numbers, chars = begin()
+                    start, seqs = i + 1, []
+            if seqs:
+                yield rows(batch.column(0).slice(start, len(seqs)), seqs)
+        yield from words(kind)
+
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(encoded, schema).withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(split, f"block string, id {docs.schema[id_col].dataType.simpleString()}, seq binary, k int, word binary")
+
+
+def encode_folded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = True, digests: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of `encode`. Every distinct word of at most LONG bytes is folded and decoded once by `encode_words` and
+    `decode_words`; longer ones, for which passes over all pairs take time by the square of their length or more, go by
+    the heap in a worker. Workers split the documents and put the words' identifiers and bytes in line.
+
+    Nulls, special strings, repeated rows and empty tables as in `encode`; other columns of docs don't matter. Two
+    tables are written on the way: the documents as sequences with the words of their blocks, and the folded words."""
+
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    place, split = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
+    blocks = materialise(split_blocks(docs, id_col, text_col, split, block_chars), "bpe-blocks")
+    words = blocks.where(F.col("word").isNotNull()).select("block", "k", "word")
+    short = words.where(F.octet_length("word") <= LONG)
+    # Written by itself, so that no other plan has the literal ranks.
+    distinct = short.select("word").repartition(partitions(spark), "word").distinct()
+    folded = materialise(decode_words(encode_words(distinct, place)).select("word", "ids", "decoded"), "bpe-words")
+
+    def by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks: dict[bytes, int] = {}
+        for batch in batches:
+            ranks = ranks or read_ranks(place)
+            pieces = [fold(w.as_py(), ranks) for w in batch.column(2)]
+            coded = pa.array([[ranks[p] for p in ps] for ps in pieces], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), coded, pa.array([b"".join(ps) for ps in pieces], pa.binary())], names=["of", "k", "ids", "decoded"])
+
+    found = short.join(folded, "word").select(F.col("block").alias("of"), "k", "ids", "decoded")
+    found = found.unionByName(words.where(F.octet_length("word") > LONG).mapInArrow(by_heap, found.schema))
+
+    def in_line(rows: pa.Table, known: pa.Table) -> pa.Table:
+        coded, decoded = [b""] * known.num_rows, [b""] * known.num_rows
+        for batch in known.to_batches():
+            part, ends = batch.column("ids"), batch.column("ids").offsets.to_numpy() * 4
+            values = np.asarray(part.values, "<u4").tobytes()
+            for k, a, b, d in zip(batch.column("k").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), batch.column("decoded").to_pylist(), strict=True):
+                coded[k], decoded[k] = values[a:b], d
+        seqs = [np.frombuffer(zlib.decompress(s), "<u4").tolist() for s in rows.column("seq").to_pylist()]
+        lines = [[b"".join(map(of.__getitem__, s)) for s in seqs] for of in (coded, decoded)]
+        return pa.table(_columns(rows.column("id"), *lines, ids, digests))
+
+    rows = blocks.where(F.col("seq").isNotNull()).select("block", "id", "seq")
+    schema = _schema(docs, id_col, ids, digests)
+    return rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(in_line, schema).withColumnRenamed("id", id_col)
 
 
 def _rank_map(path: str) -> Column:

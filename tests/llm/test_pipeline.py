@@ -97,3 +97,51 @@ def test_against_plain_python(spark, tmp_path):
 def test_tables_without_a_document_to_keep(spark, tmp_path, rows):
     got = run(spark, tmp_path, rows)
     assert got.count() == 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
+
+
+ODD = [None, "", " ", "a b a b", "don't  stop\n\n\tnow 12345 ", "<|endoftext|> x", "été 日本語 👍🏽", "x" * 5_000 + " " + "ab" * 40, " " * 300 + "\n" * 70, "tail " * 900]
+
+
+@pytest.mark.parametrize("block_chars", [1, 700, 16_000_000])
+def test_folded_words_against_the_library(spark, block_chars):
+    import public_tokenizers
+    import tiktoken
+
+    from sparkloom.llm import byte_bpe
+
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY)), special_tokens={})
+    rows = [(f"n{i % 7}" if i % 7 else None, t, 1) for i, t in enumerate(ODD * 2)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, block int").repartition(3)
+    got = byte_bpe.encode_folded(docs, block_chars=block_chars)
+    want = []
+    for i, t, _ in rows:
+        ids = lib.encode_ordinary(t or "")
+        want.append((i, len(ids), ids, (t or "").encode(), hashlib.sha256(b"".join(k.to_bytes(4, "little") for k in ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"]
+    assert sorted(((*r[:3], bytes(r[3]), *r[4:]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert byte_bpe.encode_folded(docs.limit(0)).count() == 0
+
+
+def test_encoding_stage_folds_and_decodes_all_words_by_higher_order_functions(spark, tmp_path, monkeypatch):
+    """Its rows come from encode_words and decode_words: with these changed, the rows change."""
+    import public_tokenizers
+    import regex
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import byte_bpe
+
+    texts = [t for t in ODD if not t or len(t) < 60] + [f"rare{i} 字{i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    split = [regex.findall(public_tokenizers.PATTERN, t or "") for t in texts]
+    folded, encode_words = [], byte_bpe.encode_words
+
+    def one_id_a_word(words, path, *rest):
+        folded.extend(bytes(r.word) for r in words.collect())
+        return encode_words(words, path, *rest).withColumn("ids", F.array(F.lit(7)))
+
+    monkeypatch.setattr(byte_bpe, "encode_words", one_id_a_word)
+    monkeypatch.setattr(byte_bpe, "decode_words", lambda words: words.withColumn("decoded", F.lit(b"z")))
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["byte_bpe"](spark, docs, str(tmp_path)).collect()}
+    assert sorted(folded) == sorted({w.encode() for ws in split for w in ws})
+    assert [got[i].n_tokens for i in range(len(texts))] == [len(ws) for ws in split]
+    assert [got[i].decoded_sha256 for i in range(len(texts))] == [hashlib.sha256(b"z" * len(ws)).hexdigest() for ws in split]
