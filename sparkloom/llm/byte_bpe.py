@@ -4,8 +4,8 @@ Each match of the pattern is a word of bytes. Its merges are folded by rank: of
 pieces whose concatenation has a rank, those with the lowest are joined, the leftmost first,
 until none is left. Decoding concatenates the pieces of the identifiers.
 
-Spark's higher-order functions do this for a table of distinct words, with the ranks as a
-literal map (`encode_words`). A corpus has new words without end, so a table of all of them would
+Spark's higher-order functions do this for a table of distinct words, with the ranks as an
+array of maps that a scalar subquery gives (`encode_words`). A corpus has new words without end, so a table of all of them would
 grow with it, and joining it back would shuffle a row for each word of the corpus. So `encode`
 folds the words that are most frequent in a bounded draw of documents in that way, at most
 FOLDED of them, and sends the table to the workers. There each document is split, and its words
@@ -30,7 +30,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialise, partitions
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     A null text counts as empty and has no tokens. Special strings are ordinary text. Texts
     are never cut. path and pattern: by default those of the public package, at the same place on
     the driver and the workers. table_words: size of the table of frequent words at most; with 0
-    there is none, and the driver, whose plans hold the literal map, needs some 250 MB less."""
+    there is none."""
 
     import public_tokenizers
 
@@ -256,7 +256,7 @@ def encode_folded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = materialise(split_blocks(docs, id_col, text_col, split, block_chars), "bpe-blocks")
     words = blocks.where(F.col("word").isNotNull()).select("block", "k", "word")
     short = words.where(F.octet_length("word") <= LONG)
-    # Written by itself, so that no other plan has the literal ranks.
+    # Written by itself, so that the fold is planned and run once.
     distinct = short.select("word").repartition(partitions(spark), "word").distinct()
     folded = materialise(decode_words(encode_words(distinct, place)).select("word", "ids", "decoded"), "bpe-words")
 
@@ -287,32 +287,42 @@ def encode_folded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(in_line, schema).withColumnRenamed("id", id_col)
 
 
-def _rank_map(path: str) -> Column:
-    """The ranks as a literal: an array of maps from hexadecimal pieces to ranks, a map for
+def _rank_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row, which a worker makes. ranks: an array of maps from hexadecimal pieces to ranks, a map for
     each remainder of the piece's checksum, as a lookup in one map takes time in proportion to it."""
-    maps: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for piece, rank in read_ranks(path).items():
-        maps[zlib.crc32(piece) % BUCKETS].append(f'"{piece.hex().upper()}":{rank}')
-    return F.from_json(F.lit("[" + ",".join("{" + ",".join(m) + "}" for m in maps) + "]"), "array<map<string,int>>")
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
+            for piece, rank in read_ranks(path).items():
+                maps[zlib.crc32(piece) % BUCKETS].append((piece.hex().upper(), rank))
+            kind = pa.list_(pa.map_(pa.string(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([maps] * batch.num_rows, kind)], names=["ranks"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(table, "ranks array<map<string,int>>")
 
 
 def encode_words(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
     """words (distinct, binary) with pieces (array of binary) and ids (array of int), by higher-order
     functions alone. The fold runs once for each byte but one and stops joining when no pair has a rank.
-    A null word has null pieces, an empty one none."""
-    table = _rank_map(path)
-    rank = lambda piece: F.get(table, (F.crc32(piece) % BUCKETS).cast("int"))[F.hex(piece)]
+    A null word has null pieces, an empty one none.
+
+    The ranks are a scalar subquery. As literals, they made a plan's text 2.1 MB long, which the driver renders for each
+    event of a query. Spark refuses a subquery that is written within a higher-order function, but puts a column
+    that is used once in its place, so no row carries the ranks."""
+    rank_in = lambda table, piece: F.get(table, (F.crc32(piece) % BUCKETS).cast("int"))[F.hex(piece)]
     word = F.col(word_col)
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    pairs = lambda acc: F.transform(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), lambda p, i: rank(F.concat(p, F.get(acc, i + 1))))
+    pairs = lambda table, acc: F.transform(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), lambda p, i: rank_in(table, F.concat(p, F.get(acc, i + 1))))
     join_at = lambda acc, at: F.concat(F.slice(acc, 1, at - 1), F.array(F.concat(F.get(acc, at - 1), F.get(acc, at))), F.slice(acc, at + 2, F.size(acc)))
-    step = lambda acc, _: let(pairs(acc), lambda r: F.when(F.array_min(r).isNull(), acc).otherwise(join_at(acc, F.array_position(r, F.array_min(r)).cast("int"))))
+    step = lambda table: lambda acc, _: let(pairs(table, acc), lambda r: F.when(F.array_min(r).isNull(), acc).otherwise(join_at(acc, F.array_position(r, F.array_min(r)).cast("int"))))
     n = F.octet_length(word)
     bytes_of = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))).otherwise(F.when(n == 0, F.array().cast("array<binary>")))
-    start = bytes_of
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    out = words.withColumn("pieces", F.aggregate(steps, start, step))
-    return out.withColumn("ids", F.transform("pieces", rank))
+    ids = lambda table, pieces: F.transform(pieces, lambda p: rank_in(table, p))
+    coded = lambda table: let(F.aggregate(steps, bytes_of, step(table)), lambda pieces: F.struct(pieces.alias("pieces"), ids(table, pieces).alias("ids")))
+    out = words.withColumn("__ranks", _rank_table(words.sparkSession, path).scalar()).withColumn("__coded", let(F.col("__ranks"), coded))
+    return out.select(*words.columns, "__coded.pieces", "__coded.ids")
 
 
 def decode_words(words: DataFrame, pieces_col: str = "pieces") -> DataFrame:

@@ -145,3 +145,21 @@ def test_encoding_stage_folds_and_decodes_all_words_by_higher_order_functions(sp
     assert sorted(folded) == sorted({w.encode() for ws in split for w in ws})
     assert [got[i].n_tokens for i in range(len(texts))] == [len(ws) for ws in split]
     assert [got[i].decoded_sha256 for i in range(len(texts))] == [hashlib.sha256(b"z" * len(ws)).hexdigest() for ws in split]
+
+
+def test_plans_of_folded_words_do_not_hold_the_ranks(spark):
+    """The text of a plan is rendered in the driver for each of its events; as literals the ranks made it 2.1 MB long."""
+    import public_tokenizers
+
+    from sparkloom.llm import byte_bpe
+
+    ranks = byte_bpe.read_ranks(path := public_tokenizers.path(byte_bpe.VOCABULARY))
+    words = spark.createDataFrame([(w.encode(),) for w in (" the", " xq7#", "")] + [(None,)], "word binary")
+    coded = byte_bpe.decode_words(byte_bpe.encode_words(words, path))
+    assert coded.columns == ["word", "pieces", "ids", "decoded"]
+    plan = coded._jdf.queryExecution()
+    assert len(plan.toString()) < 50_000
+    # The subquery is in the fold, so that no row carries all ranks.
+    assert "AS __ranks" not in plan.executedPlan().toString()
+    got = {r.word and bytes(r.word): r.ids for r in coded.collect()}
+    assert got == {w and bytes(w): None if w is None else [ranks[p] for p in byte_bpe.fold(w, ranks)] if w else [] for w in (b" the", b" xq7#", b"", None)}
