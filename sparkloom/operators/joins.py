@@ -6,7 +6,7 @@ equi joins leave the choice to Spark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +20,13 @@ KINDS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "f
 BROADCAST_ROWS = 5_000
 #: Rows of a key of `by` from which on it is cut into ranges.
 HOT_ROWS = 5_000_000
-#: Ranges that an inequality or ungrouped as-of join is dealt over: as many as shuffle partitions,
-#: within these bounds.
+#: Ranges that an ungrouped as-of join is dealt over: as many as shuffle partitions, within these bounds. Ranges of an
+#: inequality whose predicates have several right columns, at most.
 BUCKETS = (32, 256)
+#: Rows of the right side of an inequality in a piece, which a left row meets as a whole or not at all.
+PIECE_ROWS = 512
+#: Rows of a right side whose pieces are broadcast, at most.
+BROADCAST_PIECE_ROWS = 250_000
 
 
 def _few(df: DataFrame) -> bool:
@@ -92,15 +96,72 @@ def _bucket(c: Column, bounds: list) -> Column:
     return F.when(c.isNotNull(), tree(0, len(bounds)))
 
 
+_COMPARE = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _leading(n: int, holds: Callable[[Column], Column]) -> Column:
+    """Of n places that hold up to some place and not from there on, how many hold. Null doesn't hold."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(holds(at + step - 1), step).otherwise(0))
+
+
+def _by_pieces(a: DataFrame, b: DataFrame, predicates: list[tuple[str, str, str]], by: str) -> DataFrame:
+    """Pairs of rows of a and b, all that match among them. b is sorted along `by` and cut into pieces."""
+    small = fits(b, BROADCAST_PIECE_ROWS)
+    for x, _, y in predicates:
+        a, b = a.where(F.col(x).isNotNull()), b.where(F.col(y).isNotNull())
+    columns = b.columns
+    placed = indexed(b, [by])
+    n = max(1, -(-placed.count() // PIECE_ROWS))
+    other = [(x, op, y) for x, op, y in predicates if y != by]
+    ranges = min(n, BUCKETS[1]) if other else n
+    piece = F.floor(F.col("__i") / PIECE_ROWS)
+    placed = placed.withColumn("piece", piece.cast("int")).withColumn("range", F.floor(F.col("piece") * F.lit(ranges).cast("long") / n).cast("int"))
+    ends = [f(y).alias(f"{name}_{y}") for y in dict.fromkeys(y for _, _, y in predicates) for name, f in (("least", F.min), ("most", F.max))]
+    # The end of b's values that the most left values match.
+    best = {(op, y): ("most_" if op[0] == "<" else "least_") + y for _, op, y in predicates}
+    # One row: the ends of each range, in order.
+    table = placed.groupBy("range").agg(*ends).agg(F.array_sort(F.collect_list(F.struct("range", *best.values()))).alias("ends")).select(F.struct(*[F.col("ends")[name].alias(name) for name in best.values()]))
+
+    def reach(known: Column) -> Column:
+        met = lambda x, op, y, i: _COMPARE[op](F.col(x), F.get(known[best[op, y]], i))
+        first = [_leading(ranges, lambda i, x=x, op=op: ~met(x, op, by, i)) for x, op, y in predicates if y == by and op[0] == "<"]
+        last = [_leading(ranges, lambda i, x=x, op=op: met(x, op, by, i)) - 1 for x, op, y in predicates if y == by and op[0] == ">"]
+        span = F.struct(F.greatest(F.lit(0), F.lit(0), *first).alias("first"), F.least(F.lit(ranges - 1), F.lit(ranges - 1), *last).alias("last"))
+        found = _let(span, lambda s: F.when(s["first"] <= s["last"], F.sequence(s["first"], s["last"])))
+        for x, op, y in other:
+            found = F.filter(found, lambda i: met(x, op, y, i))  # noqa: B023
+        return found
+
+    pieces = placed.groupBy("range", "piece").agg(F.collect_list(F.struct(*columns)).alias("rows"), *ends)
+    # Spark's estimate of a's size is from before its rows go to their ranges: it isn't to choose the join.
+    pieces = F.broadcast(pieces) if small else pieces.hint("merge")
+    # Places and output take long where a is small: few files would be as few tasks.
+    a = a.repartition(min(max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS[0]), BUCKETS[1]))
+    # Spark puts the subquery in the column's place, as it is used once, so no row carries the ends.
+    a = a.withColumn("known", table.scalar()).select(*a.columns, _let(F.col("known"), reach).alias("reach"))
+    # Of explode, Spark would make a filter that finds the places once more.
+    joined = a.select("*", F.explode_outer("reach").alias("range")).drop("reach").join(pieces, "range")
+    for x, op, y in predicates:
+        joined = joined.where(_COMPARE[op](F.col(x), F.col(best[op, y])))
+    return joined.select(*a.columns[:-1], F.inline("rows"))
+
+
 def join_where(left: DataFrame, right: DataFrame, predicates: Sequence[tuple[str, str, str]], suffix: str = "_right") -> DataFrame:
     """Rows of both sides for which all of (left column, operator, right column) hold, operators
     being < <= > >=. All columns of both sides stay. Sides of a name are swapped if only that
     fits. Nulls never match.
 
-    With a small side, it is broadcast. Else both sides are cut into ranges by quantiles of the
-    first predicate's columns; the rows of a left range go to the right ranges that can match, as far as
-    the least and greatest values there allow the other predicates too. Columns that aren't numbers, dates or
-    timestamps have no ranges: then Spark compares all pairs."""
+    With a small side, it is broadcast. Else the right rows are sorted by one column, one that has bounds on both
+    sides if there is any, and cut into pieces by their places. The predicates of that column allow a left row
+    the pieces between two places, found by a binary search; all rows of these match them but for the two pieces at
+    the ends, so pairs are compared about as many as match. The other predicates leave pieces out by the least and
+    greatest values there; with them, a left row goes to 256 ranges of pieces at most. Columns that
+    aren't numbers, dates or timestamps have no pieces: then Spark compares all pairs."""
     if not predicates:
         raise ValueError("no predicates")
     plain = []
@@ -116,32 +177,21 @@ def join_where(left: DataFrame, right: DataFrame, predicates: Sequence[tuple[str
     la = {c: f"l{i}" for i, c in enumerate(left.columns)}
     rb = {c: f"r{i}" for i, c in enumerate(right.columns)}
     a, b = _tagged(left, "l"), _tagged(right, "r")
-    compare = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
     condition = None
     for x, op, y in plain:
-        holds = compare[op](F.col(la[x]), F.col(rb[y]))
+        holds = _COMPARE[op](F.col(la[x]), F.col(rb[y]))
         condition = holds if condition is None else condition & holds
     if _few(right):
         joined = a.join(F.broadcast(b), condition)
     elif _few(left):
         joined = F.broadcast(a).join(b, condition)
-    elif not isinstance(right.schema[plain[0][2]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        joined = a.join(b, condition)
     else:
-        x, op, y = plain[0]
-        bounds = _bounds(b, rb[y])
-        own, last = _bucket(F.col(la[x]), bounds), F.lit(len(bounds))
-        reach = F.sequence(own, last) if op in ("<", "<=") else F.sequence(F.lit(0), own)
-        b = b.where(F.col(rb[y]).isNotNull()).withColumn("bucket", _bucket(F.col(rb[y]), bounds))
-        for c, how, d in plain[1:]:
-            # The best value of each range: a left row that it doesn't match has none there.
-            best = F.max if how in ("<", "<=") else F.min
-            known = dict(b.groupBy("bucket").agg(best(rb[d])).collect())  # a row for each range
-            kind = right.schema[d].dataType
-            ends = F.array(*[F.lit(known.get(i)).cast(kind) for i in range(len(bounds) + 1)])
-            reach = F.filter(reach, lambda i: compare[how](F.col(la[c]), F.get(ends, i)))  # noqa: B023
-        a = a.where(F.col(la[x]).isNotNull()).withColumn("bucket", F.explode(reach))
-        joined = a.join(b, (a["bucket"] == b["bucket"]) & condition)
+        orderly = [y for _, _, y in plain if isinstance(right.schema[y].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+        bounded = [y for y in orderly if len({op[0] for _, op, d in plain if d == y}) == 2]
+        if orderly:
+            joined = _by_pieces(a, b, [(la[x], op, rb[y]) for x, op, y in plain], rb[(bounded or orderly)[0]]).where(condition)
+        else:
+            joined = a.join(b, condition)
     out = [F.col(la[c]).alias(c) for c in left.columns]
     out += [F.col(rb[c]).alias(c + suffix if c in left.columns else c) for c in right.columns]
     return joined.select(*out)

@@ -147,6 +147,46 @@ def test_inequalities_by_ranges(spark, monkeypatch):
             assert sorted(map(tuple, got)) == sorted(want), (one, two)
 
 
+def test_band_of_a_column_compares_few_pairs_but_matches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(J, "PIECE_ROWS", 16)
+    compared = []
+    inner = J._by_pieces
+    monkeypatch.setattr(J, "_by_pieces", lambda *args: compared.append(inner(*args)) or compared[-1])
+    a = spark.range(0, 3000, 1, 1).selectExpr("id as i", "id * 7919 % 3001 as low", "id * 7919 % 3001 + 60 as high")
+    b = spark.range(3000).selectExpr("id as j", "id * 7907 % 3011 as p")
+    want = rows(a.join(b, F.expr("low < p and high > p")).select("i", "j"))
+    for few in (100_000, 10):
+        monkeypatch.setattr(J, "BROADCAST_PIECE_ROWS", few)
+        for predicates in ([("low", "<", "p"), ("high", ">", "p")], [("high", ">", "p"), ("low", "<", "p")]):
+            assert rows(J.join_where(a, b, predicates).select("i", "j")) == want
+            assert compared[-1].count() < 2 * len(want)
+
+
+def test_pieces_match_all_pairs(spark, monkeypatch):
+    """Ties longer than a piece, nulls, NaN and other kinds of numbers on the left; pieces in ranges and not."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    deal = random.Random(5)
+    number = lambda: deal.choice([None, float("nan"), -0.0, 7.0, 7.0, 7.0, deal.randint(-9, 20) / 2])
+    a = spark.createDataFrame([(i, deal.choice([None, 7, deal.randint(-5, 12)]), number(), number()) for i in range(150)], "i long, x int, y double, z double")
+    b = spark.createDataFrame([(j, number(), number()) for j in range(160)], "j long, p double, q double")
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(J, "PIECE_ROWS", 8)
+    monkeypatch.setattr(J, "BUCKETS", (2, 6))
+    cases = ([("x", "<", "p")], [("y", ">=", "p")], [("x", "<=", "p"), ("y", ">=", "p")], [("y", ">", "q"), ("x", "<", "p"), ("z", ">=", "p")], [("x", ">", "p"), ("y", "<=", "q")])
+    for few, predicates in zip((100_000, 10, 10, 10, 100_000), cases, strict=True):
+        monkeypatch.setattr(J, "BROADCAST_PIECE_ROWS", few)
+        want = a.join(b, F.expr(" and ".join(f"{x} {op} {y}" for x, op, y in predicates))).select("i", "j")
+        assert rows(J.join_where(a, b, predicates).select("i", "j")) == rows(want), predicates
+    nothing = b.withColumn("p", F.lit(None).cast("double"))
+    assert J.join_where(a, nothing, [("x", "<", "p"), ("y", ">", "p")]).count() == 0
+
+
 def test_check_sorted(spark):
     df = spark.range(2000).selectExpr("id", "id div 3 as v")
     J.check_sorted(df, "v", ["id"])
