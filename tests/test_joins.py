@@ -165,6 +165,19 @@ def test_band_of_a_column_compares_few_pairs_but_matches(spark, monkeypatch):
             assert compared[-1].count() < 2 * len(want)
 
 
+def test_left_rows_of_one_file_are_joined_by_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(J, "PIECE_ROWS", 64, raising=False)
+    a = spark.range(0, 900, 1, 1).selectExpr("id as i", "id * 7919 % 1009 as x", "id % 25 as m")
+    b = spark.range(600).selectExpr("id as j", "id * 7907 % 1013 as p", "id % 23 as n")
+    got = J.join_where(a, b, [("x", ">=", "p"), ("m", "<", "n")]).select("i", "j", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["i"], r["j"]) for r in got) == sorted(map(tuple, a.join(b, F.expr("x >= p and m < n")).select("i", "j").collect()))
+    per_task = [sum(r["task"] == t for r in got) for t in {r["task"] for r in got}]
+    assert len(per_task) >= 16 and max(per_task) < len(got) / 4
+
+
 def test_pieces_match_all_pairs(spark, monkeypatch):
     """Ties longer than a piece, nulls, NaN and other kinds of numbers on the left; pieces in ranges and not."""
     import random
